@@ -122,19 +122,14 @@ def grown(text: np.ndarray, source: np.ndarray, begin: int, finish: int, same: b
 
 
 def passages(text: str, source: str, runs: list[tuple[int, int]], same: bool, min_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) in code points of the copied stretches of text with min_words whole words or more, without overlap."""
+    """(start, end, words) in code points of the copied stretches of text with min_words whole words or more. Stretches may overlap, as each one is whole in source."""
     a = np.frombuffer(text.encode(), np.uint8)
     b = a if same else np.frombuffer(source.encode(), np.uint8)
     start, end = word_spans(a, np.array([0, len(a)]), ~SPACE)
-    found: list[list[int]] = []
+    found: list[tuple[int, int]] = []
     for begin, finish in sorted(runs):
-        if found and finish <= found[-1][1]:
-            continue
-        if span := grown(a, b, begin, finish, same):
-            if found and span[0] < found[-1][1]:  # overlaps the last: one stretch
-                found[-1][1] = max(found[-1][1], span[1])
-            else:
-                found.append([*span])
+        if not any(s <= begin and finish <= e for s, e in found) and (span := grown(a, b, begin, finish, same)):
+            found.append(span)
     points = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
     out = []
     for begin, finish in found:
