@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import importable as importable
+
 #: Bytes of text that one step of a vectorised map works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -21,13 +21,6 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
-def importable(spark: SparkSession) -> None:
-    """Python workers started from now on find this package where the driver found it (on a cluster: the same path, or --py-files)."""
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, environment.get("PYTHONPATH", "").split(os.pathsep))]))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session a fresh one under /tmp."""
     at = spark.conf.get("spark.checkpoint.dir", None)

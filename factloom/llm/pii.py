@@ -105,22 +105,36 @@ def refill(form: Column, digits: Column) -> Column:
     return F.aggregate(at, start, step, lambda s: s["out"])
 
 
-def permuted_day(day: Column, key: str) -> Column:
-    """A permutation of the days of each block of 73000 (200 x 365) days since FIRST_DAY: quotient and remainder take turns as Feistel halves."""
-    block = F.floor(day / DOMAIN_DAYS).cast("int")
-    within = F.pmod(day, F.lit(DOMAIN_DAYS))
-    start = F.struct(F.floor(within / YEAR_DAYS).cast("int").alias("l"), (within % YEAR_DAYS).cast("int").alias("r"))
+def mixed(left: Column, right: Column, n_left: int, n_right: int, key: str, kind: str) -> Column:
+    """A permutation of pairs of integers below n_left and n_right, as a struct (l, r): Feistel halves of unlike sizes take turns."""
+    start = F.struct(left.cast("int").alias("l"), right.cast("int").alias("r"))
 
     def turn(s: Column, i: Column) -> Column:
         def by(other: Column) -> Column:
-            salt = F.concat_ws("|", F.lit(key), F.lit(DATE), i.cast("string"), other.cast("string"))
+            salt = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other.cast("string"))
             return F.conv(F.substring(F.sha2(salt.cast("binary"), 256), 1, 7), 16, 10).cast("int")
 
-        left = F.when(i % 2 == 0, F.pmod(s["l"] + by(s["r"]), F.lit(YEARS))).otherwise(s["l"])
-        right = F.when(i % 2 == 1, F.pmod(s["r"] + by(s["l"]), F.lit(YEAR_DAYS))).otherwise(s["r"])
-        return F.struct(left.alias("l"), right.alias("r"))
+        l = F.when(i % 2 == 0, F.pmod(s["l"] + by(s["r"]), F.lit(n_left))).otherwise(s["l"])
+        r = F.when(i % 2 == 1, F.pmod(s["r"] + by(s["l"]), F.lit(n_right))).otherwise(s["r"])
+        return F.struct(l.alias("l"), r.alias("r"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: block * DOMAIN_DAYS + s["l"] * YEAR_DAYS + s["r"])
+
+def permuted_day(day: Column, key: str) -> Column:
+    """A permutation of the days of each block of 73000 (200 x 365) days since FIRST_DAY."""
+    block = F.floor(day / DOMAIN_DAYS).cast("int")
+    within = F.pmod(day, F.lit(DOMAIN_DAYS))
+    pair = mixed(F.floor(within / YEAR_DAYS), within % YEAR_DAYS, YEARS, YEAR_DAYS, key, DATE)
+    return block * DOMAIN_DAYS + pair["l"] * YEAR_DAYS + pair["r"]
+
+
+def ssn_pseudonym(value: Column, key: str) -> Column:
+    """Areas 001 to 899 but 666, groups 01 to 99 and serials 0001 to 9999, permuted."""
+    area, group, serial = (F.substring(value, at, n).try_cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    pair = mixed(area - 1 - (area > 666).cast("int"), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, SSN)
+    new = pair["l"] + 1 + (pair["l"] >= 665).cast("int")
+    return F.format_string("%03d-%02d-%04d", new, F.floor(pair["r"] / 9999).cast("int") + 1, pair["r"] % 9999 + 1)
 
 
 def parsed_date(value: Column) -> Column:
@@ -182,7 +196,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     number = feistel(digits, key, PHONE)
     return (
         F.when(kind == EMAIL, email).when(kind == CARD, card).when(kind == PHONE, refill(value, number))
-        .when(kind == IP, ip_pseudonym(value, key)).when(kind == DATE, date).when(kind == SSN, refill(value, feistel(digits, key, SSN)))
+        .when(kind == IP, ip_pseudonym(value, key)).when(kind == DATE, date).when(kind == SSN, ssn_pseudonym(value, key))
         .when(kind == IBAN, iban_pseudonym(value, key)).otherwise(value)
     )
 
@@ -190,19 +204,8 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 def ip_pseudonym(value: Column, key: str) -> Column:
     """Four numbers up to 255, permuted as two halves of 16 bits."""
     at = F.transform(F.split(value, r"\."), lambda x: x.try_cast("int"))
-    start = F.struct((at[0] * 256 + at[1]).alias("l"), (at[2] * 256 + at[3]).alias("r"))
-
-    def turn(s: Column, i: Column) -> Column:
-        def by(other: Column) -> Column:
-            salt = F.concat_ws("|", F.lit(key), F.lit(IP), i.cast("string"), other.cast("string"))
-            return F.conv(F.substring(F.sha2(salt.cast("binary"), 256), 1, 4), 16, 10).cast("int")
-
-        left = F.when(i % 2 == 0, (s["l"] + by(s["r"])) % 65536).otherwise(s["l"])
-        right = F.when(i % 2 == 1, (s["r"] + by(s["l"])) % 65536).otherwise(s["r"])
-        return F.struct(left.alias("l"), right.alias("r"))
-
-    both = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
-    part = [F.floor(both[h] / 256).cast("string") if k == 0 else (both[h] % 256).cast("string") for h in ("l", "r") for k in (0, 1)]
+    pair = mixed(at[0] * 256 + at[1], at[2] * 256 + at[3], 65536, 65536, key, IP)
+    part = [F.floor(pair[h] / 256).cast("string") if k == 0 else (pair[h] % 256).cast("string") for h in ("l", "r") for k in (0, 1)]
     return F.concat_ws(".", *part)
 
 
