@@ -17,7 +17,7 @@ from factloom.plans.verdict import counted, judged
 from factloom.sources.projection import BASE, DATA, IMAGE, ISLANDS, STEP, Projection, with_tables
 
 #: A well-called address, and one in the middle of things.
-CALLED, PLACE = 6442506496, BASE + 300 * STEP
+CALLED, PLACE = 6442506496, BASE + 42 * STEP
 LETTERS = ("'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'")
 Query = Callable[[Projection], DataFrame]
 _QUERIES: dict[str, Query] = {}
