@@ -82,3 +82,12 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi join on a long column, where right comes from an aggregation by it.
+
+    The key is joined with its bits flipped: so right doesn't keep the aggregate's partitioning, both sides get exchanges of their own, and the adaptive planner can split a hot key of left over tasks.
+    """
+    own = right.withColumn("_key", F.bitwise_not(key)).drop(key)
+    return left.withColumn("_key", F.bitwise_not(key)).join(own, "_key", how).drop("_key")

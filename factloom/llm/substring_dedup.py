@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, saved, slices, text_buffer
+from .common import documents, saved, skew_join, slices, text_buffer
 from .kernels import BYTE, SPACE, U, powers, mix, word_spans
 
 REACH, MIN_WORDS = 16, 50
@@ -99,7 +99,7 @@ def copied_runs(docs: DataFrame) -> DataFrame:
     table = chunk_table(docs)
     # Partial aggregation leaves one row for each digest and task before the exchange.
     owners = table.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("digest", "keep_id")
-    copied = table.join(owners, "digest").where("keep_id < doc_id OR again").select("doc_id", "keep_id", "at", (F.col("at") + F.col("length")).alias("to"))
+    copied = skew_join(table, owners, "digest").where("keep_id < doc_id OR again").select("doc_id", "keep_id", "at", (F.col("at") + F.col("length")).alias("to"))
     w = W.partitionBy("doc_id", "keep_id").orderBy("at")
     fresh = (F.coalesce(F.lag("to").over(w), F.lit(-1)) != F.col("at")).cast("int")
     runs = copied.withColumn("run", F.sum(fresh).over(w.rowsBetween(W.unboundedPreceding, 0)))
