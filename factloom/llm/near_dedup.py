@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, saved, slices, text_buffer
+from .common import documents, saved, skew_join, slices, text_buffer
 from .components import components, local_components
 from .kernels import U, doc_words, mix, windows
 
@@ -253,7 +253,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, distance: int = DISTANCE
     reps = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "representatives")
     all_keys = keys(reps)
     shared = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = all_keys.join(shared, "key").join(reps.select("id", "sig"), "id")
+    members = skew_join(all_keys, shared, "key").join(reps.select("id", "sig"), "id")
     buckets = in_blocks(members, "key", "n").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     rooted = components(candidate_links(buckets, distance))
     grouping = saved(rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("id"), "root"), "candidate-groups")
