@@ -5,6 +5,8 @@ Documents become pieces of at most `size` tokens. Only the counts by length (at
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -19,7 +21,7 @@ from .common import documents, saved, steps
 
 SIZE, END = 4096, 1
 #: Words whose ids a Python worker remembers.
-MEMO = 400_000
+MEMO = 600_000
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -40,16 +42,27 @@ class Memo(dict):
         return out
 
 
+#: Bytes of Latin-1 texts that take the direct way: printable ones, spaces and new lines.
+DIRECT = bytes([10, *range(32, 127), *range(161, 173), *range(174, 256)])
+#: The tokenizer's own pattern (fixed value).
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def latin_pattern() -> re.Pattern:
+    """PATTERN for lower-cased texts of DIRECT characters: its classes as Latin-1 has them."""
+    kinds = {k: "".join(re.escape(c) for c in map(chr, range(33, 256)) if unicodedata.category(c)[0] == k) for k in "LN"}
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^ \\n{kinds['L']}{kinds['N']}]+")
+
+
 class Encoder:
-    """Ids of texts. White space parts the tokens of this tokenizer, so words are encoded one by one and remembered.
+    """Ids of texts. White space parts the tokens of this tokenizer, so their parts can be encoded one by one and remembered.
 
-    Plain words (printable characters up to U+00FF) go through the tokenizer's steps one by one: lower case, its pattern, its byte letters, its merges. Any other word goes through the whole tokenizer.
+    Latin-1 texts go through the tokenizer's steps one by one: lower case, its pattern, its byte letters, its merges. Words of other texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str, special: bool):
         import json
 
-        import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -57,29 +70,30 @@ class Encoder:
         if not special:
             self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.plain = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+").fullmatch
+            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.direct = split == PATTERN and not special
+        self.find = latin_pattern().findall
         letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {chr(c): letters.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256)}
-        self.special = special
-        self.memo = Memo(self.word)
-        self.parts = Memo(self.part)
+        self.words, self.parts = Memo(self.word), Memo(self.part)
 
     def part(self, x: str) -> bytes:
         mapped = x if x.isascii() else "".join(map(self.letters.__getitem__, x))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def word(self, w: str) -> bytes:
-        if not w:
-            return b""
-        if not self.plain(w) or self.special and "<|" in w:
-            return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.parts.__getitem__, self.pattern.findall(w.lower())))
+        return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+
+    def is_direct(self, text: str) -> bool:
+        try:
+            return self.direct and not text.encode("latin-1").translate(None, DIRECT)
+        except UnicodeEncodeError:
+            return False
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        return [b"".join(map(self.memo.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        known, words = self.parts.__getitem__, self.words.__getitem__
+        return [b"".join(map(known, self.find(t.lower())) if self.is_direct(t) else map(words, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def encoder(path: str, special: bool = False) -> Encoder:
