@@ -8,8 +8,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows and bytes of an Arrow batch: documents are long, and batches are held on both sides of the pipe.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers started from now on find this package where the driver found it (on a cluster: the same path, or --py-files)."""
+    """Python workers started from now on find this package where the driver found it (on a cluster: the same path, or --py-files), and get small Arrow batches unless the session has its own sizes."""
+    for key, own in ARROW.items():
+        if not spark.conf.get(key, None):
+            spark.conf.set(key, own)
     root = str(Path(__file__).resolve().parents[1])
     environment = spark.sparkContext.environment
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # what a batch took goes back to the machine
     environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, environment.get("PYTHONPATH", "").split(os.pathsep))]))
