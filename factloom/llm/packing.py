@@ -21,7 +21,7 @@ from .common import documents, saved, steps
 
 SIZE, END = 4096, 1
 #: Words whose ids a Python worker remembers.
-MEMO = 600_000
+MEMO = 240_000
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -84,6 +84,12 @@ class Encoder:
     def word(self, w: str) -> bytes:
         return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        """Gives back what is remembered: the worker may go on with other work."""
+        for memo in (self.words, self.parts):
+            memo.clear()
+            memo.older = {}
+
     def is_direct(self, text: str) -> bool:
         try:
             return self.direct and not text.encode("latin-1").translate(None, DIRECT)
@@ -130,6 +136,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int, end: int | None) -> DataFram
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        e.forget()
 
     return documents(docs).mapInArrow(run, PIECES)
 
