@@ -1,6 +1,6 @@
 """Substring deduplication by content-defined chunks.
 
-A gear rolling hash (the last 16 bytes count) runs over each text; a cut is where it is largest among REACH bytes on either side, so cuts depend on nearby bytes alone and an insertion shifts no later chunk. Chunks are deduplicated by digest: the first place of each digest (smallest id, then position) keeps it. Runs of neighbouring copied chunks are grown byte by byte against the kept text, and those of at least MIN_WORDS words are reported and may be cut out.
+A gear rolling hash (the last 16 bytes count) runs over each text; a cut is where it is largest among REACH bytes on either side, so cuts depend on nearby bytes alone and an insertion shifts no later chunk. Digests tell which chunks are repeated, and so which windows of MIN_WORDS words may be; the first place of each such window (smallest id, then position) keeps it. Copied windows are grown byte by byte against the kept text, and the stretches are reported and may be cut out.
 """
 
 from __future__ import annotations
@@ -8,20 +8,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, saved, skew_join, slices, text_buffer
-from .kernels import BYTE, SPACE, U, powers, mix, word_spans
+from .kernels import BYTE, SPACE, U, powers, mix, span_hashes, word_spans
 
 REACH, MIN_WORDS = 16, 50
 #: Longest chunk; only texts that repeat themselves (runs of one character) reach it.
 MOST = 512
-#: Bytes of neighbouring chunks that make a pair of documents worth comparing.
-MIN_RUN = 48
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-CHUNK = "doc_id long, at int, length int, digest long, again boolean"
+CHUNK = "doc_id long, at int, length int, digest long"
+WINDOW = "doc_id long, at int, h long, again boolean"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -79,7 +77,7 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """One row per chunk of each document with an id: doc_id, at, length, digest, again (seen before in this text)."""
+    """One row per chunk of each document with an id: doc_id, at, length, digest."""
 
     def run(batches):
         for b in batches:
@@ -87,80 +85,137 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 part = b.slice(*s)
                 of, at, length, digest = chunks(part.column("text"))
                 if len(of):
-                    again = np.ones(len(of), bool)
-                    again[np.unique(digest + mix(of.astype(U) + U(1)), return_index=True)[1]] = False
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest.view(np.int64)), pa.array(again)], names=["doc_id", "at", "length", "digest", "again"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest.view(np.int64))], names=["doc_id", "at", "length", "digest"])
 
     return documents(docs).where("doc_id IS NOT NULL").mapInArrow(run, CHUNK)
 
 
-def copied_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, begin, finish) runs of neighbouring chunks, in bytes, whose first place is in keep_id; within a document, runs seen earlier in it."""
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans): start and end in bytes of the chunks of a document that stand at two places or more."""
     table = chunk_table(docs)
     # Partial aggregation leaves one row for each digest and task before the exchange.
-    owners = table.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("digest", "keep_id")
-    copied = skew_join(table, owners, "digest").where("keep_id < doc_id OR again").select("doc_id", "keep_id", "at", (F.col("at") + F.col("length")).alias("to"))
-    w = W.partitionBy("doc_id", "keep_id").orderBy("at")
-    fresh = (F.coalesce(F.lag("to").over(w), F.lit(-1)) != F.col("at")).cast("int")
-    runs = copied.withColumn("run", F.sum(fresh).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "keep_id", "run").agg(F.min("at").alias("begin"), F.max("to").alias("finish"))
-    return runs.where(F.col("finish") - F.col("begin") >= MIN_RUN).drop("run")
-
-
-def grown(text: np.ndarray, source: np.ndarray, begin: int, finish: int, same: bool) -> tuple[int, int] | None:
-    """The longest equal stretch of text around [begin, finish) that also stands in source (in the same text: earlier)."""
-    place = source.tobytes().find(text[begin:finish].tobytes())
-    if place < 0 or same and place >= begin:
-        return None
-    n = min(begin, place)
-    apart = np.flatnonzero(text[begin - n : begin][::-1] != source[place - n : place][::-1])
-    left = int(apart[0]) if len(apart) else n
-    end = place + finish - begin
-    n = min(len(text) - finish, len(source) - end)
-    apart = np.flatnonzero(text[finish : finish + n] != source[end : end + n])
-    return begin - left, finish + (int(apart[0]) if len(apart) else n)
-
-
-def passages(text: str, source: str, runs: list[tuple[int, int]], same: bool, min_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) in code points of the copied stretches of text with min_words whole words or more. Stretches may overlap, as each one is whole in source."""
+    known = table.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    spans = skew_join(table, known, "digest").select("doc_id", F.struct("at", (F.col("at") + F.col("length")).alias("to")).alias("span"))
+    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+
+
+def word_windows(text: np.ndarray, begin: np.ndarray, finish: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the windows of `size` words, byte for byte, that may stand elsewhere: all chunks that the window alone determines are in the repeated ones [begin, finish)."""
+    start, end = word_spans(text, np.array([0, len(text)]), ~SPACE)
+    if len(start) < size:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    lo, hi = start[: len(start) - size + 1], end[size - 1 :]
+    step = np.zeros(len(text) + 1, np.int32)
+    np.add.at(step, begin, 1)
+    np.add.at(step, np.minimum(finish, len(text)), -1)
+    bare = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) <= 0)])
+    cut = cuts(gear(text))
+    # A cut after byte i depends on bytes i - 31 to i + 16.
+    first, last = np.searchsorted(cut, lo + 2 * REACH), np.searchsorted(cut, hi - REACH, "right") - 1
+    good = first >= last
+    k = np.flatnonzero(~good)
+    good[k] = bare[cut[last[k]]] == bare[cut[first[k]]]
+    at = np.flatnonzero(good)
+    return at, span_hashes(text, lo[at], hi[at])
+
+
+def window_table(texts: DataFrame, size: int) -> DataFrame:
+    """One row per window that may be repeated: doc_id, at (its first word), h, again (seen before in this text)."""
+
+    def run(batches):
+        for b in batches:
+            spans = b.column("spans")
+            for k, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+                own = spans[k].values
+                at, h = word_windows(np.frombuffer(text.encode(), np.uint8), own.field("at").to_numpy(), own.field("to").to_numpy(), size)
+                if len(at):
+                    again = np.ones(len(at), bool)
+                    again[np.unique(h, return_index=True)[1]] = False
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc), pa.int64()), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(again)], names=["doc_id", "at", "h", "again"])
+
+    return texts.select("doc_id", "text", "spans").mapInArrow(run, WINDOW)
+
+
+def copied_windows(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, keep_id, places): first words of a document's windows whose first place is in keep_id; within a document, of those seen earlier in it."""
+    table = window_table(texts, size)
+    owners = table.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("h", "keep_id")
+    copied = skew_join(table, owners, "h").where("keep_id < doc_id OR again")
+    return copied.groupBy("doc_id", "keep_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bytes are equal from the start on."""
+    n, at, step = min(len(a), len(b)), 0, 256
+    while at < n:
+        to = min(n, at + step)
+        apart = np.flatnonzero(a[at:to] != b[at:to])
+        if len(apart):
+            return at + int(apart[0])
+        at, step = to, step * 2
+    return n
+
+
+def grown(text: np.ndarray, source: np.ndarray, hay: bytes, begin: int, finish: int, same: bool) -> tuple[int, int] | None:
+    """The longest equal stretch of text around [begin, finish) at its first place in source, whose bytes are hay (in the same text: earlier)."""
+    piece, best = text[begin:finish].tobytes(), None
+    place = hay.find(piece)
+    while place >= 0 and not (same and place >= begin):
+        left = agreeing(text[:begin][::-1], source[:place][::-1])
+        right = agreeing(text[finish:], source[place + finish - begin :])
+        if best is None or left + right > begin - best[0] + best[1] - finish:
+            best = begin - left, finish + right
+        break
+    return best
+
+
+def passages(text: str, source: str, places: list[int], same: bool, min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, words) in code points of the copied stretches of text with min_words whole words or more that hold the windows at these words. Stretches may overlap, as each one is whole in source."""
     a = np.frombuffer(text.encode(), np.uint8)
     b = a if same else np.frombuffer(source.encode(), np.uint8)
+    hay = b.tobytes()
     start, end = word_spans(a, np.array([0, len(a)]), ~SPACE)
+    at = np.array(places)
+    at = at[at + min_words <= len(start)]
+    last = end[at + min_words - 1]
     found: list[tuple[int, int]] = []
-    for begin, finish in sorted(runs):
-        if not any(s <= begin and finish <= e for s, e in found) and (span := grown(a, b, begin, finish, same)):
+    k = 0
+    while k < len(at):
+        span = grown(a, b, hay, int(start[at[k]]), int(last[k]), same)
+        if span:
             found.append(span)
+        # Windows that a stretch holds are done: the next one starts a stretch of its own.
+        k = max(k + 1, int(np.searchsorted(last, span[1], "right"))) if span else k + 1
     points = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
     out = []
     for begin, finish in found:
-        first, last = int(np.searchsorted(start, begin)), int(np.searchsorted(end, finish, "right"))
-        if last - first >= min_words:
-            out.append((int(points[start[first]]), int(points[end[last - 1]]), last - first))
+        first, final = int(np.searchsorted(start, begin)), int(np.searchsorted(end, finish, "right"))
+        out.append((int(points[start[first]]), int(points[end[final - 1]]), final - first))
     return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per copied passage: doc_id, start, end (code points, end exclusive), n_words, keep_id (the document that keeps the passage).
 
-    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words; it must hold chunks of MIN_RUN bytes together, which every passage of some 150 bytes does. The smallest id with a passage keeps it; a repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows that repeat an id are read as one another's copies only if their texts repeat themselves. Other columns are not looked at. Empty input: empty output.
+    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at its first place there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows that repeat an id are read as one another's copies only if their texts repeat themselves. Other columns are not looked at. Empty input: empty output.
     """
-    runs = saved(copied_runs(docs).groupBy("doc_id", "keep_id").agg(F.sort_array(F.collect_list(F.struct("begin", "finish"))).alias("runs")), "copied-runs")
-    ids = saved(runs.select("doc_id").union(runs.select("keep_id")).distinct(), "passage-ids")
+    spans = saved(repeated_chunks(docs), "repeated-chunks")
+    ids = spans.select("doc_id")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = saved(documents(docs).join(ids, "doc_id"), "passage-texts")
+    runs = saved(copied_windows(texts.join(spans, "doc_id"), min_words), "copied-windows")
     pairs = runs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("source")), "keep_id")
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc, keep, spans, text, source in zip(*(b.column(c).to_pylist() for c in ("doc_id", "keep_id", "runs", "text", "source")), strict=True):
-                spans = [(s["begin"], s["finish"]) for s in spans]
-                rows += [(doc, s, e, n, keep) for s, e, n in passages(text, source, spans, doc == keep, min_words)]
+            for doc, keep, places, text, source in zip(*(b.column(c).to_pylist() for c in ("doc_id", "keep_id", "places", "text", "source")), strict=True):
+                rows += [(doc, s, e, n, keep) for s, e, n in passages(text, source, places, doc == keep, min_words)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "end", "n_words", "keep_id"])
 
-    return pairs.select("doc_id", "keep_id", "runs", "text", "source").mapInArrow(run, "doc_id long, start long, end long, n_words long, keep_id long")
+    return pairs.select("doc_id", "keep_id", "places", "text", "source").mapInArrow(run, "doc_id long, start long, end long, n_words long, keep_id long")
 
 
 def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:

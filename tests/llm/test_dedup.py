@@ -144,3 +144,25 @@ def test_substring_odd(odd, empty):
     rows = substring_dedup.repeated_passages(odd).collect()
     assert all(r["doc_id"] is not None for r in rows)
     assert substring_dedup.repeated_passages(empty).collect() == []
+
+
+def passage_rows(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["doc_id"], r["keep_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in substring_dedup.repeated_passages(df).collect()]
+
+
+def made_words(rng, n):
+    return " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
+
+
+def test_substring_lines_of_earlier_documents(spark):
+    rng = np.random.default_rng(7)
+    texts, want = [], {}
+    for _ in range(40):
+        a, b = made_words(rng, 35), made_words(rng, 35)
+        texts += [f"{made_words(rng, 9)} {a} {made_words(rng, 9)}", f"{made_words(rng, 9)} {b} {made_words(rng, 9)}"]
+        texts += [f"{made_words(rng, 9)} {a} {b} {made_words(rng, 9)}" for _ in range(2)]
+        want[len(texts) - 1] = len(texts) - 2, f"{a} {b}"
+    rows = passage_rows(spark, texts)
+    assert {r[0] for r in rows} == set(want)
+    assert all(keep == want[doc][0] and want[doc][1] in part for doc, keep, part in rows)
