@@ -157,7 +157,7 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def grown(text: np.ndarray, source: np.ndarray, hay: bytes, begin: int, finish: int, same: bool) -> tuple[int, int] | None:
-    """The longest equal stretch of text around [begin, finish) at its first place in source, whose bytes are hay (in the same text: earlier)."""
+    """The longest equal stretch of text around [begin, finish) at any of its places in source, whose bytes are hay (in the same text: earlier)."""
     piece, best = text[begin:finish].tobytes(), None
     place = hay.find(piece)
     while place >= 0 and not (same and place >= begin):
@@ -165,7 +165,7 @@ def grown(text: np.ndarray, source: np.ndarray, hay: bytes, begin: int, finish:
         right = agreeing(text[finish:], source[place + finish - begin :])
         if best is None or left + right > begin - best[0] + best[1] - finish:
             best = begin - left, finish + right
-        break
+        place = hay.find(piece, place + 1)
     return best
 
 
@@ -197,7 +197,7 @@ def passages(text: str, source: str, places: list[int], same: bool, min_words: i
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per copied passage: doc_id, start, end (code points, end exclusive), n_words, keep_id (the document that keeps the passage).
 
-    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at its first place there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows that repeat an id are read as one another's copies only if their texts repeat themselves. Other columns are not looked at. Empty input: empty output.
+    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at all its places there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows that repeat an id are read as one another's copies only if their texts repeat themselves. Other columns are not looked at. Empty input: empty output.
     """
     spans = saved(repeated_chunks(docs), "repeated-chunks")
     ids = spans.select("doc_id")

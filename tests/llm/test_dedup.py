@@ -155,6 +155,17 @@ def made_words(rng, n):
     return " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
 
 
+def test_substring_run_that_is_not_contiguous(spark):
+    rng = np.random.default_rng(6)
+    x, p, y, z, q = (made_words(rng, 60) for _ in range(5))
+    source, copy = " ".join((x, p, y, z, p, q)), " ".join((x, p, q))
+    rows = [r for r in passage_rows(spark, [source, copy]) if r[0] == 1]
+    assert all(keep == 0 and part in source for _, keep, part in rows)
+    assert any(f"{x} {p}" in part for _, _, part in rows) and any(f"{p} {q}" in part for _, _, part in rows)
+    within = [part for _, _, part in passage_rows(spark, [source + " " + made_words(rng, 20) + " " + copy])]
+    assert any(f"{x} {p}" in part for part in within) and any(f"{p} {q}" in part for part in within)
+
+
 def test_substring_lines_of_earlier_documents(spark):
     rng = np.random.default_rng(7)
     texts, want = [], {}
