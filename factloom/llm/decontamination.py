@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units of a text become typed placeholders; windows of 5 canonical words of documents and benchmark items are joined by hash. Along each alignment of a document with an item the slots must be consistent: one value of the item stands for one value in the document and the other way round. So verbatim copies are found, and questions whose parameters were replaced throughout.
+Numbers, names and units of a text become typed placeholders; windows of 5 canonical words of documents and benchmark items are joined by hash. Along each alignment of a document with an item the slots must be consistent: one value of the item stands for one value in the document and the other way round. So verbatim copies are found, and questions whose parameters were replaced throughout. Windows of plain lower-cased words stand beside them, so that copies in capitals or small letters are found, where any word or none looks like a name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:"]] = True
-NUMBER, NAME, UNIT = mix(np.arange(11, 14, dtype=U))
+NUMBER, NAME, UNIT, PLAIN = mix(np.arange(11, 15, dtype=U))
 
 
 def _units() -> np.ndarray:
@@ -96,28 +97,39 @@ def template_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h[good].view(np.int64), doc[good], (first - begin[doc])[good], values[good]
 
 
+def plain_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of lower-cased words without placeholders: hash, text, first word's place in its text."""
+    _, own, _, of = canonical(pc.utf8_lower(texts))
+    n = len(texts)
+    h, doc, first = windows(mix(own ^ PLAIN), of, n, WORDS)
+    count = np.bincount(of, minlength=n)
+    return h.view(np.int64), doc, first - (np.cumsum(count) - count)[doc]
+
+
 def windowed(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFrame:
-    """(h, key, pos, slots) for the windows of df (key long, text); only: sorted hashes to keep."""
+    """(h, key, pos, slots, plain) for the windows of df (key long, text), with and without placeholders; only: sorted hashes to keep."""
 
     def run(batches):
         for b in batches:
             for s in slices(b.column("text")):
                 part = b.slice(*s)
-                h, doc, pos, values = template_windows(part.column("text"))
-                if only is not None:
-                    keep = within(h, only)
-                    h, doc, pos, values = h[keep], doc[keep], pos[keep], values[keep]
-                if len(h):
-                    slots = pa.ListArray.from_arrays(np.arange(0, len(h) * WORDS + 1, WORDS, dtype=np.int32), pa.array(values.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column(key).take(pa.array(doc)), pa.array(pos), slots], names=["h", key, "pos", "slots"])
+                h, doc, pos = plain_windows(part.column("text"))
+                families = ((*template_windows(part.column("text")), False), (h, doc, pos, np.zeros((len(h), WORDS), np.int64), True))
+                for h, doc, pos, values, plain in families:
+                    if only is not None:
+                        keep = within(h, only)
+                        h, doc, pos, values = h[keep], doc[keep], pos[keep], values[keep]
+                    if len(h):
+                        slots = pa.ListArray.from_arrays(np.arange(0, len(h) * WORDS + 1, WORDS, dtype=np.int32), pa.array(values.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array(h), part.column(key).take(pa.array(doc)), pa.array(pos), slots, pa.array(np.full(len(h), plain))], names=["h", key, "pos", "slots", "plain"])
 
-    return df.mapInArrow(run, f"h long, {key} long, pos long, slots array<long>")
+    return df.mapInArrow(run, f"h long, {key} long, pos long, slots array<long>, plain boolean")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, n_windows, n_matched, coverage, n_changed.
 
-    n_windows: distinct places of the item's usable windows; n_matched: those found along consistent alignments; n_changed: slots with another value than the item's. Items without a usable window match nothing. Null texts count as empty. Rows that repeat an id count as one text's windows; a null id is reported as null. Other columns are not looked at. Empty input on either side: empty output.
+    A document is reported when either family of windows, with placeholders or plain, reaches the coverage. n_windows: distinct places of the item's usable windows; n_matched: those found along consistent alignments; n_changed: slots with another value than the item's. Items without a usable window match nothing. Null texts count as empty. Rows that repeat an id count as one text's windows; a null id is reported as null. Other columns are not looked at. Empty input on either side: empty output.
     """
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -127,17 +139,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     if known.count() <= BROADCAST_WINDOWS:
         only = np.sort(known.toArrow().column("h").to_numpy())
     # Place by place: the windows of a common passage are summed over documents before anything is multiplied.
-    matches = windowed(texts, "doc_id", only).join(item_windows, "h")
+    matches = windowed(texts, "doc_id", only).drop("plain").join(item_windows, "h")
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
-    aligned = matches.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    aligned = matches.groupBy("doc_id", "item_id", "plain", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     one_to_one = (F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.slots")) == F.size("pairs"))
     changed = F.size(F.filter("pairs", lambda x: x["item_slots"] != x["slots"]))
-    found = aligned.where(one_to_one).groupBy("doc_id", "item_id").agg(
+    found = aligned.where(one_to_one).groupBy("doc_id", "item_id", "plain").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.sum(changed).alias("n_changed")
     )
-    sizes = item_windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
+    sizes = item_windows.groupBy("item_id", "plain").agg(F.countDistinct("item_pos").alias("n_windows"))
     share = F.col("n_matched") / F.col("n_windows")
-    out = found.join(sizes.withColumnRenamed("item_id", "own_id"), F.col("item_id").eqNullSafe(F.col("own_id")))
-    return out.withColumn("coverage", share).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_changed")
+    own_id = {"item_id": "own_id", "plain": "own_plain"}
+    out = found.join(sizes.withColumnsRenamed(own_id), F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("plain") == F.col("own_plain")))
+    reached = out.withColumn("coverage", share).where(F.col("coverage") >= coverage)
+    # Where both families reach it, the one with placeholders is reported.
+    best = reached.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("n_windows", "n_matched", "coverage", "n_changed"), "plain").alias("best"))
+    return best.select("doc_id", "item_id", "best.*")

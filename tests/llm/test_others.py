@@ -194,3 +194,10 @@ def test_pipeline(spark, sf_dir):
     assert decontamination.decontaminate(clean, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).isEmpty()
     left = {r[0] for r in clean.select("doc_id").collect()}
     assert left == {r[0] for r in c.run(spark, sf_dir).select("doc_id").collect()} and len(left) < docs.count()
+
+
+def test_copies_in_other_case(spark):
+    item = "Yesterday the farmer Alice Müller sold Bob Ärmel and Carol Jones of Old Town twelve apples and five pears at noon"
+    docs = spark.createDataFrame([(0, "X " + item.upper() + " END"), (1, "x " + item.lower() + " end"), (2, "THE FARMER SOLD SOMETHING ELSE IN OLD TOWN AT NOON")], "doc_id long, text string")
+    rows = decontamination.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 7), (1, 7)} and all(r["n_changed"] == 0 and r["coverage"] == 1 for r in rows)
