@@ -28,6 +28,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 STOPS = {"html", "body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "table", "ul", "ol", "dl", "td", "th", "blockquote", "figure", "fieldset"}
 DROPPED = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "video", "audio", "select", "button", "head"}
+#: What a head may hold; anything else ends one that is open.
+METADATA = set("head html base basefont bgsound link meta noframes noscript script style template title".split())
+BUTTONS = {t: re.compile(rf"<(/?){t}\b", re.IGNORECASE) for t in ("button", "select")}
 BOILER = set(
     "nav navbar navigation menu menus header masthead footer foot sidebar side aside ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert "
     "comment comments commentlist reply replies discussion disqus respond share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager popup modal overlay newsletter subscribe subscription signup login search form widget toolbar topbar copyright legal disclaimer tags skip".split()
@@ -48,9 +51,13 @@ class Page:
         self.block: list[tuple[int, str]] = []
         self.linked = defaultdict(int)
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements: tag, node
+        unclosed = set()  # nodes of buttons and selects without an end tag
         links = at = 0
         while at < len(html):
             m = TOKEN.search(html, at)
+            if stack[-1][0] == "head" and html[at : m.start() if m else len(html)].strip():
+                self.flush()
+                stack.pop()
             if m is None:
                 self.piece(stack[-1][1], html[at:], links)
                 break
@@ -76,6 +83,13 @@ class Page:
                 continue
             marks = m[3] or m[6] or ""
             inline = tag in INLINE
+            if stack[-1][0] == "head" and tag not in METADATA:
+                self.flush()
+                stack.pop()
+            if unclosed and tag in CLOSES and tag != "option":
+                k = next((k for k, (_, node) in enumerate(stack) if node in unclosed), len(stack))
+                links -= sum(t == "a" for t, _ in stack[k:])
+                del stack[k:]
             if tag not in SEAMLESS:
                 self.flush()
                 if ends := CLOSES.get(tag):
@@ -106,6 +120,8 @@ class Page:
                 continue
             if marks.endswith("/") and tag in ("svg", "math"):
                 continue
+            if tag in BUTTONS and ((end := BUTTONS[tag].search(html, at)) is None or not end[1]):
+                unclosed.add(node)
             stack.append((tag, node))
             links += tag == "a"
         self.flush()
@@ -274,7 +290,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
 def extract_text(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points).
 
-    Null html counts as empty and gives an empty text. Broken markup is read as browsers mostly do: unclosed elements end with their parents, a tag cut off at the end is dropped. Repeated rows are read each; null ids and urls stay null. Other columns are not looked at. Empty input: empty output.
+    Null html counts as empty and gives an empty text. Broken markup is read as browsers mostly do: unclosed elements end with their parents, an open head at the first thing that isn't metadata, an unclosed button or select at the next block, a tag cut off at the end is dropped. Repeated rows are read each; null ids and urls stay null. Other columns are not looked at. Empty input: empty output.
     """
     model = Model(labelled if labelled is not None else labelled_pages())
 

@@ -201,3 +201,13 @@ def test_copies_in_other_case(spark):
     docs = spark.createDataFrame([(0, "X " + item.upper() + " END"), (1, "x " + item.lower() + " end"), (2, "THE FARMER SOLD SOMETHING ELSE IN OLD TOWN AT NOON")], "doc_id long, text string")
     rows = decontamination.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 7), (1, 7)} and all(r["n_changed"] == 0 and r["coverage"] == 1 for r in rows)
+
+
+def test_omitted_head_end_and_unclosed_buttons():
+    model = html_text.Model(html_text.labelled_pages())
+    story = "<article><h1>Title here</h1><p>The first paragraph has several words in it.</p><p>So has the second one.</p></article>"
+    want = "Title here\n\nThe first paragraph has several words in it.\n\nSo has the second one."
+    for start in ("<html><head><title>T</title><meta charset=x><body>", "<head><title>T</title><style>p{}</style>", "<head><title>T</title></head><body>"):
+        assert model.extract(start + story) == want
+    for control in ("<button>Go", "<select><option>One<option>Two", "<button><div>Go</div></button>", "<select><option>One</select>"):
+        assert model.extract("<body>" + control + story) == want
