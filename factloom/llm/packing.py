@@ -22,7 +22,7 @@ from .common import documents, saved, steps
 SIZE, END = 4096, 1
 #: Words whose ids a Python worker remembers.
 MEMO = 240_000
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 class Memo(dict):
@@ -55,23 +55,22 @@ def latin_pattern() -> re.Pattern:
 
 
 class Encoder:
-    """Ids of texts. White space parts the tokens of this tokenizer, so their parts can be encoded one by one and remembered.
+    """Ids of texts, those of the tokenizer's plain call: a string that names an added token is that token. White space parts the tokens of this tokenizer, so their parts can be encoded one by one and remembered.
 
-    Latin-1 texts go through the tokenizer's steps one by one: lower case, its pattern, its byte letters, its merges. Words of other texts go through the whole tokenizer.
+    Latin-1 texts without an added token go through the tokenizer's steps one by one: lower case, its pattern, its byte letters, its merges. Words of other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, special: bool):
+    def __init__(self, path: str):
         import json
 
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        if not special:
-            self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.direct = split == PATTERN and not special
+            made = json.load(f)
+        self.direct = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == PATTERN
+        self.added = [t["content"] for t in made["added_tokens"]]
         self.find = latin_pattern().findall
         letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {chr(c): letters.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256)}
@@ -92,7 +91,7 @@ class Encoder:
 
     def is_direct(self, text: str) -> bool:
         try:
-            return self.direct and not text.encode("latin-1").translate(None, DIRECT)
+            return self.direct and not text.encode("latin-1").translate(None, DIRECT) and not any(t in text for t in self.added)
         except UnicodeEncodeError:
             return False
 
@@ -102,10 +101,10 @@ class Encoder:
         return [b"".join(map(known, self.find(t.lower())) if self.is_direct(t) else map(words, t.replace("\n", " ").split(" "))) for t in texts]
 
 
-def encoder(path: str, special: bool = False) -> Encoder:
-    if (path, special) not in _encoders:
-        _encoders[path, special] = Encoder(path, special)
-    return _encoders[path, special]
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -173,7 +172,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int | None = END) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts hold the end token alone (with end=None they make no piece). Strings that name special tokens are ordinary text. Repeated ids are packed as they come; null ids stay null. Other columns are not looked at. Empty input: empty output.
+    Null and empty texts hold the end token alone (with end=None they make no piece). Strings that name an added token of the tokenizer are that token, as in its plain call. Repeated ids are packed as they come; null ids stay null. Other columns are not looked at. Empty input: empty output.
     """
     pieces = saved(cut(docs, tokenizer, size, end), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))

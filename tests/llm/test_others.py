@@ -13,7 +13,6 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in texts}
 
 
@@ -64,11 +63,10 @@ def test_packing_odd(odd, empty):
 
 def test_encoder_on_odd_words():
     e = packing.encoder(TOKENIZER)
-    odd = ["It's 3²½ ªº <|endoftext|> İstanbuĺ é \x1c a\tb\xa0c 'RE'll", "日本語 ﬁ Ǆ", "", " ", "​x", "don't  STOP!!\r\nnow"]
+    odd = ["It's 3²½ ªº <|endoftext|> İstanbuĺ é \x1c a\tb\xa0c 'RE'll", "日本語 ﬁ Ǆ", "", " ", "​x", "don't  STOP!!\r\nnow", "<|endoftext|> x", "a<|startoftext|>b  <|endoftext|>", "<|ENDOFTEXT|> é <|endoftext|", "日本<|endoftext|>語"]
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     assert e.ids(odd) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
 
 
