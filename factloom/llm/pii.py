@@ -5,6 +5,8 @@ A value is found by a pattern and validated (Luhn sum, calendar, ranges), then p
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,20 @@ PATTERNS = {
     IP: r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     SSN: r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     IBAN: r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    CARD: r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    PHONE: r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9A-Za-z])",
+    # Fixed groupings, so that no match runs into a neighbouring number.
+    CARD: r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9A-Za-z])",
+    PHONE: r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?(?![0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4})[0-9]{2,4}){3,5}(?![0-9A-Za-z])",
 }
 ORDER = (EMAIL, DATE, IP, SSN, IBAN, CARD, PHONE)
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ORDER)
 #: A text without a match of this has no value at all.
 HINT = "[0-9@]"
-DOMAIN_DAYS, YEARS, YEAR_DAYS = 73000, 200, 365
 FIRST_DAY = "1900-01-01"
+#: Blocks of days since FIRST_DAY, each permuted within itself: (first day, days of a block as a product). Whole blocks run from 100 to 9894; what is left of the years 1 to 9999 makes a block at either end.
+DOMAIN_DAYS, YEARS, YEAR_DAYS = 73000, 200, 365
+EARLY, LATE = (-693595, 65, 563), (2920000, 64, 601)
+#: What the key begins with in plans; Spark's redaction blots it out of plans and event logs.
+KEY_MARK = "pii-key-"
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -122,11 +129,15 @@ def mixed(left: Column, right: Column, n_left: int, n_right: int, key: str, kind
 
 
 def permuted_day(day: Column, key: str) -> Column:
-    """A permutation of the days of each block of 73000 (200 x 365) days since FIRST_DAY."""
-    block = F.floor(day / DOMAIN_DAYS).cast("int")
-    within = F.pmod(day, F.lit(DOMAIN_DAYS))
-    pair = mixed(F.floor(within / YEAR_DAYS), within % YEAR_DAYS, YEARS, YEAR_DAYS, key, DATE)
-    return block * DOMAIN_DAYS + pair["l"] * YEAR_DAYS + pair["r"]
+    """A permutation of the days of the years 1 to 9999, block by block."""
+
+    def within(at: Column, left: int, right: int, kind: str) -> Column:
+        pair = mixed(F.floor(at / right), at % right, left, right, key, kind)
+        return pair["l"] * right + pair["r"]
+
+    block = F.floor(day / DOMAIN_DAYS).cast("int") * DOMAIN_DAYS
+    early, late = (within(day - first, left, right, f"{DATE}{first}") + first for first, left, right in (EARLY, LATE))
+    return F.when(day < EARLY[0] + EARLY[1] * EARLY[2], early).when(day >= LATE[0], late).otherwise(block + within(F.pmod(day, F.lit(DOMAIN_DAYS)), YEARS, YEAR_DAYS, DATE))
 
 
 def ssn_pseudonym(value: Column, key: str) -> Column:
@@ -154,7 +165,7 @@ def kind_of(value: Column) -> Column:
         IP: F.forall(F.split(value, r"\."), lambda x: x.try_cast("int") <= 255),
         SSN: ~value.rlike("^(000|666|9)|-00-|-0000$"),
         IBAN: iban_valid(value),
-        CARD: (luhn_sum(digits) % 10 == 0) & digits.rlike("[1-9]"),
+        CARD: ((luhn_sum(digits) % 10 == 0) | leads_with_card(value)) & digits.rlike("[1-9]"),
         PHONE: F.length(digits) >= 7,
     }
     out = F.when(full[EMAIL], F.lit(EMAIL))
@@ -163,6 +174,18 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def leads_with_card(value: Column) -> Column:
+    """Do the first 16 of 19 grouped digits make a card number, while all 19 make none? The last three are its check value then."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return value.rlike("^[0-9]{4}([ -][0-9]{4}){3}[ -][0-9]{3}$") & (luhn_sum(digits) % 10 != 0) & (luhn_sum(F.substring(digits, 1, 16)) % 10 == 0)
+
+
+def card_pseudonym(value: Column, key: str) -> Column:
+    """The body permuted, the check digit made anew, groups as they are."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return refill(value, with_luhn(feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key, CARD)))
+
+
 def iban_valid(value: Column) -> Column:
     """The ISO 7064 check of an IBAN: 97 leaves 1."""
     plain = F.regexp_replace(value, " ", "")
@@ -186,7 +209,8 @@ def iban_pseudonym(value: Column, key: str) -> Column:
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a value of a kind; a value without a kind stays."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    card = refill(value, with_luhn(feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key, CARD)))
+    lead = F.when(leads_with_card(value), 19).otherwise(F.length(value))  # 16 digits and three signs between them
+    card = F.concat(card_pseudonym(F.substring(value, F.lit(1), lead), key), F.substring(value, lead + 1, F.length(value)))
     local = F.substring_index(value, "@", 1)
     email = F.concat(feistel(local, key, EMAIL), F.lit("@"), F.substring_index(value, "@", -1))
     day = permuted_day(F.datediff(parsed_date(value), F.lit(FIRST_DAY).cast("date")), key)
@@ -213,11 +237,20 @@ def number_of(kind: str) -> Column:
     return F.size(F.filter("pii", lambda s: s["kind"] == kind))
 
 
+def hidden_key(docs: DataFrame, key: str) -> str:
+    """A key derived from the caller's, marked so that Spark's redaction (set here unless the session has its own) keeps it out of plans and event logs."""
+    conf = docs.sparkSession.conf
+    if not conf.get("spark.sql.redaction.string.regex", None):
+        conf.set("spark.sql.redaction.string.regex", KEY_MARK + "[0-9a-f]+")
+    return KEY_MARK + hashlib.sha256(key.encode()).hexdigest()
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """One row per row of docs: doc_id, text with pseudonyms, n_pii, n_<kind> for each kind, pii (values found: kind, pseudonym in order).
 
-    Null texts count as empty and come back empty; a text without a valid value comes back as it is. Invalid look-alikes (a failed Luhn sum, the 31st of February) stay. Dates are read month first with slashes and day first with dots. Repeated rows and ids are treated alike; a null id stays null. Other columns are not looked at. Empty input: empty output.
+    Null texts count as empty and come back empty; a text without a valid value comes back as it is. Invalid look-alikes (a failed Luhn sum, the 31st of February) stay. Dates are read month first with slashes and day first with dots. Of 19 grouped digits that fail the Luhn sum while their first 16 pass, the 16 are a card. Repeated rows and ids are treated alike; a null id stays null. Other columns are not looked at. Empty input: empty output.
     """
+    key = hidden_key(docs, key)
     d = documents(docs).withColumn("found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
     kinds = F.transform("found", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     d = d.withColumn("typed", F.when(F.size("found") > 0, kinds).otherwise(F.array().cast("array<struct<value:string,kind:string>>")))

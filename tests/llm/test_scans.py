@@ -1,4 +1,6 @@
+import datetime
 import hashlib
+import random
 import re
 
 import pytest
@@ -70,9 +72,63 @@ def test_feistel_is_a_permutation(spark, size):
 
 
 def test_days_are_permuted(spark):
-    df = spark.range(pii.DOMAIN_DAYS).selectExpr("cast(id AS int) AS d")
-    out = {r[0] for r in df.select(pii.permuted_day(df["d"], "key")).collect()}
-    assert out == set(range(pii.DOMAIN_DAYS))
+    """Each block's days onto themselves: an inner block and the two at the ends of the calendar."""
+    ends = [(first, first + left * right) for first, left, right in (pii.EARLY, pii.LATE)]
+    for lo, hi in [(0, pii.DOMAIN_DAYS), *ends]:
+        df = spark.range(lo, hi).selectExpr("cast(id AS int) AS d")
+        assert {r[0] for r in df.select(pii.permuted_day(df["d"], "key")).collect()} == set(range(lo, hi))
+    assert ends[0][1] % pii.DOMAIN_DAYS == 0 and pii.LATE[0] % pii.DOMAIN_DAYS == 0
+    assert (datetime.date(1, 1, 1) - datetime.date(1900, 1, 1)).days == ends[0][0] and (datetime.date(9999, 12, 31) - datetime.date(1900, 1, 1)).days == ends[1][1] - 1
+
+
+def masked(text):
+    return re.sub("[0-9]", "0", text)
+
+
+def test_neighbours_stay_apart(spark):
+    """Values beside other numbers are found one by one, and dates at the ends of the calendar stay dates."""
+    texts = {
+        "4111 1111 1111 1111 123": ["card"], "order 7 4111111111111111": ["card"], "4111111111111111 12/26": ["card"], "555-123-4567 2024-01-05": ["phone", "date"], "555-123-4567 555-987-6543": ["phone", "phone"],
+        "+49 30 1234567 2024-01-05": ["phone", "date"], "3782-822463-10005": ["card"], "0001-01-01 9999-12-31 9896-02-29 0050-06-01": ["date"] * 4, "6304 1000 0000 0000 009": ["card"],
+    }
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    for r in rows:
+        text = list(texts)[r["doc_id"]]
+        assert [p["kind"] for p in r["pii"]] == texts[text], text
+        assert r["text"] != text and masked(r["text"]) == masked(text)
+        for day in re.findall(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r["text"]):
+            datetime.date.fromisoformat(day)
+    assert rows[0]["text"].endswith(" 123") and rows[1]["text"].startswith("order 7 ")
+    again = pii.pseudonymise(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string"), "k").collect()
+    assert [[p["kind"] for p in r["pii"]] for r in again] == [[p["kind"] for p in r["pii"]] for r in rows]
+
+
+def brute_pseudonyms(text, pseudonym):
+    """A walk from place to place: at each, the first kind in order whose pattern matches there; its value goes through the operator alone."""
+    out, at = [], 0
+    patterns = {k: re.compile(p.replace("++", "+"), re.ASCII) for k, p in pii.PATTERNS.items()}
+    while at < len(text):
+        m = next((x for k in pii.ORDER if (x := patterns[k].match(text, at))), None)
+        out.append(pseudonym(m[0]) if m else text[at])
+        at = m.end() if m else at + 1
+    return "".join(out)
+
+
+def test_pseudonyms_against_a_walk(spark):
+    """Whole texts equal a walk that replaces each value by what the operator makes of it alone."""
+    rng = random.Random(4)
+    fill = ["and", "x", "12", "7-8", "a4", ":", "\n", "é", "(", "300.1.1.1", "4111111111111112", "2024-02-30"]
+    texts = ["".join(rng.choice([v + " ", v + "; ", v + "\n"]) for v in rng.choices(VALUES + fill, k=30)) for _ in range(12)]
+    values = sorted({w for t in texts for w in [t[m.start() : m.end()] for p in pii.PATTERNS.values() for m in re.finditer(p.replace("++", "+"), t, re.ASCII)]})
+    alone = {values[r["doc_id"]]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), "k").collect()}
+    for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect():
+        assert r["text"] == brute_pseudonyms(texts[r["doc_id"]], alone.__getitem__)
+
+
+def test_key_stays_out_of_plans(spark, capsys):
+    pii.pseudonymise(spark.createDataFrame([(0, "4111111111111111")], "doc_id long, text string"), "my-own-secret").explain(True)
+    plan = capsys.readouterr().out
+    assert "my-own-secret" not in plan and hashlib.sha256(b"my-own-secret").hexdigest()[:16] not in plan
 
 
 def test_scans_odd(odd, empty):
