@@ -1,15 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units of a text become typed placeholders; windows of 5 canonical words of documents and benchmark items are joined by hash. Along each alignment of a document with an item the slots must be consistent: one value of the item stands for one value in the document and the other way round. So verbatim copies are found, and questions whose parameters were replaced throughout. Windows of plain lower-cased words stand beside them, so that copies in capitals or small letters are found, where any word or none looks like a name.
+Numbers, names and units of a text become typed placeholders; windows of 5 canonical words of documents and benchmark items are joined by hash. Along each alignment of a document with an item the slots must be consistent: each value of the item stands for one value in the document, that of most windows, and windows that say otherwise are dropped. So verbatim copies are found, and questions whose parameters were replaced throughout. Windows of plain lower-cased words stand beside them, so that copies in capitals or small letters are found, where any word or none looks like a name.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import saved, slices, text_buffer
 from .kernels import SPACE, U, LOWER, mix, span_hashes, windows, word_spans
@@ -76,7 +79,10 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         opens[1:] = (of[1:] != of[:-1]) | STOP[data[raw_end[:-1] - 1]] | (lines[start_all[1:]] != lines[raw_end[:-1] - 1])
     second = data[np.minimum(start + 1, max(len(data) - 1, 0))] if n else start
     upper = UPPER[data[start]] | (data[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E) if n else np.zeros(0, bool)
-    name = upper & ~opens & ~number & ~unit
+    inner = upper & ~opens & ~number & ~unit
+    # A word that opens a sentence is a name if it stands capitalised within one and never in small letters.
+    key = own ^ mix(of.astype(U) + U(1))
+    name = inner | upper & ~number & ~unit & within(key, np.unique(key[inner])) & ~within(key, np.unique(key[~upper]))
     words = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, own)))
     return words, own, number | unit | name, of
 
@@ -126,10 +132,32 @@ def windowed(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFra
     return df.mapInArrow(run, f"h long, {key} long, pos long, slots array<long>, plain boolean")
 
 
+def settled(windows: list[dict]) -> tuple[list[int], int]:
+    """The places of an alignment's windows whose slots agree with the majority, and how many of the item's values these change.
+
+    Each value of the item stands for the document's value that most windows give it (of equally many, the item's own, then the smallest).
+    """
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for w in windows:
+        for own, other in {(a, b) for a, b in zip(w["item_slots"], w["slots"], strict=True) if a}:
+            votes[own][other] += 1
+    chosen = {own: min(c, key=lambda v, own=own, c=c: (-c[v], v != own, v)) for own, c in votes.items()}
+    good = [w for w in windows if all(chosen[a] == b for a, b in zip(w["item_slots"], w["slots"], strict=True) if a)]
+    used = {a for w in good for a in w["item_slots"] if a}
+    return sorted({w["item_pos"] for w in good}), sum(chosen[a] != a for a in used)
+
+
+@F.arrow_udf(StructType().add("places", ArrayType(LongType())).add("changed", LongType()))
+def consistent(found: pa.Array) -> pa.Array:
+    rows = [settled(windows) for windows in found.to_pylist()]
+    kinds = (pa.list_(pa.int64()), pa.int64())
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["places", "changed"])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, n_windows, n_matched, coverage, n_changed.
 
-    A document is reported when either family of windows, with placeholders or plain, reaches the coverage. n_windows: distinct places of the item's usable windows; n_matched: those found along consistent alignments; n_changed: slots with another value than the item's. Items without a usable window match nothing. Null texts count as empty. Rows that repeat an id count as one text's windows; a null id is reported as null. Other columns are not looked at. Empty input on either side: empty output.
+    A document is reported when either family of windows, with placeholders or plain, reaches the coverage. n_windows: distinct places of the item's usable windows; n_matched: those found, without windows whose slots clash along their alignment; n_changed: values of the item that are others in the document. Names are capitalised words within sentences, and at their start if the text has them within sentences too and never in small letters. Items without a usable window match nothing. Null texts count as empty. Rows that repeat an id count as one text's windows; a null id is reported as null. Other columns are not looked at. Empty input on either side: empty output.
     """
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -138,17 +166,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     only = None
     if known.count() <= BROADCAST_WINDOWS:
         only = np.sort(known.toArrow().column("h").to_numpy())
-    # Place by place: the windows of a common passage are summed over documents before anything is multiplied.
     matches = windowed(texts, "doc_id", only).drop("plain").join(item_windows, "h")
-    pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
-    aligned = matches.groupBy("doc_id", "item_id", "plain", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    one_to_one = (F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.slots")) == F.size("pairs"))
-    changed = F.size(F.filter("pairs", lambda x: x["item_slots"] != x["slots"]))
-    found = aligned.where(one_to_one).groupBy("doc_id", "item_id", "plain").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.sum(changed).alias("n_changed")
-    )
+    # An alignment has at most as many windows as the item.
+    aligned = matches.groupBy("doc_id", "item_id", "plain", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"))
+    kept = aligned.select("doc_id", "item_id", "plain", consistent("found").alias("kept"))
+    found = kept.groupBy("doc_id", "item_id", "plain").agg(F.size(F.array_distinct(F.flatten(F.collect_list("kept.places")))).cast("long").alias("n_matched"), F.sum("kept.changed").alias("n_changed"))
     sizes = item_windows.groupBy("item_id", "plain").agg(F.countDistinct("item_pos").alias("n_windows"))
     share = F.col("n_matched") / F.col("n_windows")
     own_id = {"item_id": "own_id", "plain": "own_plain"}

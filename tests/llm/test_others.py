@@ -83,7 +83,7 @@ def test_templates(spark):
     rows = {r["doc_id"]: r for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert rows[0]["item_id"] == 0 and rows[0]["n_changed"] == 0 and rows[0]["coverage"] == 1
     assert rows[1]["n_changed"] > 0 and rows[1]["coverage"] >= 0.9
-    assert set(rows) == {0, 1}  # slots of the third clash: two values of the item stand for one
+    assert set(rows) == {0, 1, 2, 6} and rows[2]["n_changed"] > 0  # two values of the item may become one; capitals are found by plain windows
 
 
 def test_leaks_against_brute_force(spark, sf_dir, monkeypatch):
@@ -209,3 +209,64 @@ def test_omitted_head_end_and_unclosed_buttons():
         assert model.extract(start + story) == want
     for control in ("<button>Go", "<select><option>One<option>Two", "<button><div>Go</div></button>", "<select><option>One</select>"):
         assert model.extract("<body>" + control + story) == want
+
+
+def walked(item, text, monkeypatch=None):
+    """Share of an item's windows in a text by plain loops: every alignment, majority of slots, either family."""
+    import pyarrow as pa
+
+    def listed(t, plain):
+        if plain:
+            h, _, pos = decontamination.plain_windows(pa.array([t]))
+            return [(int(x), int(p), ()) for x, p in zip(h, pos, strict=True)]
+        h, _, pos, values = decontamination.template_windows(pa.array([t]))
+        return [(int(x), int(p), tuple(v)) for x, p, v in zip(h, pos, values.tolist(), strict=True)]
+
+    best = 0.0
+    for plain in (False, True):
+        own, found = listed(item, plain), set()
+        if not own:
+            continue
+        shifts = {}
+        for h, p, v in listed(text, plain):
+            for g, q, u in own:
+                if g == h:
+                    shifts.setdefault(p - q, []).append((q, u, v))
+        for windows in shifts.values():
+            votes = {}
+            for _, u, v in set(windows):
+                for a, b in {(a, b) for a, b in zip(u, v, strict=True) if a}:
+                    votes.setdefault(a, {}).setdefault(b, 0)
+                    votes[a][b] += 1
+            first = {a: sorted(c, key=lambda b: (-c[b], b != a, b))[0] for a, c in votes.items()}
+            found |= {q for q, u, v in windows if all(first[a] == b for a, b in zip(u, v, strict=True) if a)}
+        best = max(best, len(found) / len({q for _, q, _ in own}))
+    return best
+
+
+ITEM = "A farmer called Alice has 12 apples and sells 5 apples to her friend Bob for 3 dollars each, then Alice walks 7 miles to the old market near the river and buys 5 new baskets for her sister Carol"
+
+
+def test_one_changed_number_leaves_the_rest(spark):
+    """An item that holds a number twice is found with one of the two changed; random re-parameterisations agree with plain loops."""
+    import random
+
+    rng = random.Random(8)
+    texts = ["Intro. " + ITEM.replace("5 new", "6 new") + " and more.", ITEM.replace("12", "7").replace(" 5 ", " 7 "), ITEM.replace("Alice", "Zoe").replace("Bob", "Zoe")]
+    for _ in range(25):
+        text = "".join(w if not w.strip().isdigit() or rng.random() < 0.4 else f"{rng.randint(1, 9)} " for w in [x + " " for x in ITEM.split(" ")])
+        words = text.split(" ")
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(("Dora", "and", "8", "the"))
+        texts.append(" ".join(words))
+    items = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    got = {r["doc_id"]: r["coverage"] for r in decontamination.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()}
+    want = {k: c for k, t in enumerate(texts) if (c := walked(ITEM, t)) >= decontamination.COVERAGE}
+    assert got == pytest.approx(want) and {0, 1, 2} <= set(got) and len(got) < len(texts)
+
+
+def test_names_at_sentence_starts(spark):
+    item = "Anna has 12 apples in a bag. Anna buys 5 more at the shop. How many apples does Anna have now?"
+    docs = spark.createDataFrame([(0, item.replace("Anna", "Beth").replace("12", "9"))], "doc_id long, text string")
+    (row,) = decontamination.decontaminate(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert row["coverage"] == 1 and row["n_changed"] == 2
