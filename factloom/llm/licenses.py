@@ -1,11 +1,10 @@
 """License scans by a positional index of rare license words.
 
-Templates are indexed by word: word -> (template, position). The high-IDF words of a text vote for (template, shift) where their position minus the template's is the shift; alignments with votes of two or more words are checked word by word, and the template's key phrase must stand in the text.
+Templates (license texts, file headers, names) are indexed by word: word -> (template, position). Of the license words that a file holds, the RAREST with the highest IDF are looked up; their postings meet where the file's position minus the template's is one shift for VOTES words or more. These alignments are checked word by word, and the template's key phrases must stand there in a row.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
@@ -14,84 +13,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, slices, text_buffer
-from .kernels import doc_words, span_hashes, word_spans
+from .kernels import LOWER, doc_words, span_hashes, word_spans
+from .license_texts import TEMPLATES
 
 #: Phrases that are licenses by themselves (fixed values).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Templates: label, key phrase, words (fixed values).
-TEMPLATES = (
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "mit license", "released under the mit license"),
-    ("apache", "apache license", "licensed under the apache license version 2 0"),
-    ("gpl", "general public license", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "lesser general public license", "under the terms of the gnu lesser general public license"),
-    ("agpl", "affero general public license", "under the terms of the gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "bsd license", "released under the bsd license"),
-    ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("epl", "eclipse public license", "made available under the terms of the eclipse public license"),
-    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
-    ("cc0", "cc0 1 0", "cc0 1 0 universal public domain dedication"),
-    ("cc-by", "cc by 4 0", "licensed under cc by 4 0"),
-    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nd", "cc by nd", "licensed under cc by nd 4 0"),
-    ("cc-by-nc", "attribution noncommercial", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "creative commons attribution 4 0", "creative commons attribution 4 0 international license"),
-)
-SHARE, VOTES = 0.6, 2
+#: Share of a template's IDF weight that makes a match; words at one shift that make an alignment; words of a file that are looked up.
+SHARE, VOTES, RAREST = 0.6, 2, 32
 
 #: Digits, small letters and every byte of a character beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def hashes(text: str) -> list[int]:
-    data = np.frombuffer(text.encode(), np.uint8)
+def hashes(text: str) -> np.ndarray:
+    data = LOWER[np.frombuffer(text.encode(), np.uint8)]
     start, end = word_spans(data, np.array([0, len(data)]), WORD)
-    return span_hashes(data, start, end).tolist()
+    return span_hashes(data, start, end)
 
 
 class Index:
-    """Postings of template words, their IDF over templates, and key phrases."""
+    """Postings of template words with their IDF over templates, and the places of key phrases."""
 
     def __init__(self, templates=TEMPLATES):
-        self.words = [hashes(t[2]) for t in templates]
         self.labels = [t[0] for t in templates]
-        self.keys = [hashes(t[1]) for t in templates]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, words in enumerate(self.words):
-            for at, w in enumerate(words):
-                self.postings[w].append((k, at))
-        self.idf = {w: math.log(1 + len(templates) / len({k for k, _ in p})) for w, p in self.postings.items()}
-        least = sorted(self.idf.values())[len(self.idf) // 3]
-        # Each template keeps its two rarest words at least.
-        rarest = {w for words in self.words for w in sorted(set(words), key=lambda w: -self.idf[w])[:3]}
-        self.rare = np.array(sorted(w for w in self.idf if self.idf[w] >= least or w in rarest), np.uint64)
-        self.weight = [sum(self.idf[w] for w in words) for words in self.words]
-
-    def match(self, words: np.ndarray, rare_at: np.ndarray) -> dict[str, float]:
-        """Label -> best share of a template's weight, for one text's word hashes and the places of its rare words."""
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for at in rare_at.tolist():
-            for k, place in self.postings[int(words[at])]:
-                votes[k, at - place] += 1
+        self.words = [hashes(t[2]) for t in templates]
+        self.keys = [[place(words, hashes(k)) for k in t[1]] for t, words in zip(templates, self.words, strict=True)]
+        size = [len(w) for w in self.words]
+        every, of = np.concatenate(self.words), np.repeat(np.arange(len(size)), size)
+        at = np.concatenate([np.arange(n) for n in size])
+        self.known, term = np.unique(every, return_inverse=True)
+        files = np.bincount(np.unique(np.stack([term, of]), axis=1)[0], minlength=len(self.known))
+        self.idf = np.log(1 + len(size) / files)
+        order = np.argsort(term, kind="stable")
+        self.post_template, self.post_at = of[order], at[order]
+        self.post_count = np.bincount(term, minlength=len(self.known))
+        self.post_first = np.cumsum(self.post_count) - self.post_count
+        self.weight = [self.idf[np.searchsorted(self.known, w)] for w in self.words]
+
+    def terms(self, words: np.ndarray) -> np.ndarray:
+        """The index of each word among the license words, -1 for others."""
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, at, -1)
+
+    def alignments(self, places: np.ndarray, term: np.ndarray) -> list[tuple[int, int]]:
+        """(template, shift) on which VOTES different words agree, from the places of a file's license words."""
+        held = np.unique(term)
+        rarest = held[np.argsort(-self.idf[held], kind="stable")[:RAREST]]
+        looked = np.isin(term, rarest)
+        places, term = places[looked], term[looked]
+        n = self.post_count[term]
+        posting = np.repeat(self.post_first[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shift = np.repeat(places, n) - self.post_at[posting]
+        votes = np.unique(np.stack([self.post_template[posting], shift, np.repeat(term, n)]), axis=1)
+        agreed, count = np.unique(votes[:2], axis=1, return_counts=True)
+        return list(map(tuple, agreed[:, count >= VOTES].T.tolist()))
+
+    def match(self, words: np.ndarray, places: np.ndarray, term: np.ndarray) -> dict[str, float]:
+        """Label -> best share of a template's weight, for one text's word hashes and its license words.
+
+        Words that a file inserts or leaves out move the shift: alignments up to the template's length from its best one count together.
+        """
+        shifts: dict[int, list[int]] = defaultdict(list)
+        for template, shift in self.alignments(places, term):
+            shifts[template].append(shift)
         found: dict[str, float] = {}
-        n = len(words)
-        for (k, shift), count in votes.items():
-            if count < VOTES:
-                continue
-            own = self.words[k]
-            part = [int(words[shift + p]) if 0 <= shift + p < n else None for p in range(len(own))]
-            share = sum(self.idf[w] for w, x in zip(own, part, strict=True) if w == x) / self.weight[k]
-            size = len(self.keys[k])
-            key = any(part[p : p + size] == self.keys[k] for p in range(len(part) - size + 1))
-            if share >= SHARE and key:
-                found[self.labels[k]] = max(found.get(self.labels[k], 0.0), share)
+        for k, own in shifts.items():
+            size, weight = len(self.words[k]), self.weight[k]
+            agree = np.zeros((len(own), size), bool)
+            for row, shift in zip(agree, own, strict=True):
+                lo, hi = max(0, -shift), min(size, len(words) - shift)
+                row[lo:hi] = words[shift + lo : shift + hi] == self.words[k][lo:hi]
+            best = int(np.argmax(agree @ weight))
+            near = agree[np.abs(np.array(own) - own[best]) <= size]
+            share = float(weight[near.any(0)].sum() / weight.sum())
+            if share >= SHARE and all(near[:, at : at + n].all(1).any() for at, n in self.keys[k]):
+                found[self.labels[k]] = max(found.get(self.labels[k], 0.0), min(share, 1.0))
         return found
 
 
+def place(words: np.ndarray, phrase: np.ndarray) -> tuple[int, int]:
+    """(first place, size) of a phrase among words."""
+    n = len(phrase)
+    at = next((p for p in range(len(words) - n + 1) if (words[p : p + n] == phrase).all()), None)
+    if at is None:
+        raise ValueError("a template does not hold its key phrase")
+    return at, n
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -112,7 +121,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     return documents(docs).select("doc_id", scan("text").alias("s")).select("doc_id", "s.*")
 
 
-def scan_slice(texts: pa.Array, index: Index, phrases: list[tuple[list[int], str]]) -> list[tuple]:
+def scan_slice(texts: pa.Array, index: Index, phrases: list[tuple[np.ndarray, str]]) -> list[tuple]:
     data, off = text_buffer(texts)
     _, _, _, words, of = doc_words(data, off, WORD)
     n = len(texts)
@@ -120,19 +129,19 @@ def scan_slice(texts: pa.Array, index: Index, phrases: list[tuple[list[int], str
     places: dict[int, list[tuple[int, str]]] = defaultdict(list)
     for phrase, label in phrases:
         last = len(phrase) - 1
-        hit = np.flatnonzero(words[last:] == np.uint64(phrase[last]))
+        hit = np.flatnonzero(words[last:] == phrase[last])
         for k in range(last):
-            hit = hit[words[hit + k] == np.uint64(phrase[k])]
+            hit = hit[words[hit + k] == phrase[k]]
         hit = hit[of[hit] == of[hit + last]] if len(hit) else hit
         for h in hit.tolist():
             places[int(of[h])].append((h - int(at[of[h]]), label))
-    known = np.searchsorted(index.rare, words)
-    rare = np.flatnonzero(index.rare[np.minimum(known, len(index.rare) - 1)] == words)
-    bounds = np.searchsorted(rare, at)
+    term = index.terms(words)
+    held = np.flatnonzero(term >= 0)
+    bounds = np.searchsorted(held, at)
     out = []
     for d in range(n):
-        mine = rare[bounds[d] : bounds[d + 1]] - at[d]
-        found = index.match(words[at[d] : at[d + 1]], mine) if len(mine) >= VOTES else {}
+        mine = held[bounds[d] : bounds[d + 1]]
+        found = index.match(words[at[d] : at[d + 1]], mine - at[d], term[mine]) if len(mine) >= VOTES else {}
         starts = [p for p, _ in places.get(d, ())]
         base = sorted({label for _, label in places.get(d, ())})
         score = 1.0 if base else max(found.values(), default=0.0)

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from factloom.llm import licenses, pii, secrets
@@ -41,9 +42,58 @@ def test_license_scan(spark):
 
 
 def test_license_base_against_brute_force(docs, texts):
-    for r in licenses.scan_licenses(docs).collect():
-        text = re.sub("[A-Z]", lambda m: m[0].lower(), dict(texts)[r["doc_id"]] or "")
-        assert r["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
+    """All contract columns, by plain loops over words; phrases are strewn over the texts too."""
+    spark, rng = docs.sparkSession, random.Random(2)
+    phrases = [p for p, _ in licenses.BASE] + ["the license", "MIT", "General  Public", "apache-license.", "mit_license", "MIT\nLicense"]
+    rows = [(i, " ".join(x for w in (t or "").split(" ")[:300] for x in ([w, rng.choice(phrases)] if rng.random() < 0.05 else [w]))) for i, t in texts] + [(900, "é MIT license"), (901, "mit license" * 3), (902, None)]
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), dict(rows)[r["doc_id"]] or ""))
+        hits = [(k, label) for phrase, label in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in hits]
+        base = sorted({label for _, label in hits})
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(base))
+        assert set(base) <= set(r["labels"].split(",")) and r["labels"] == ",".join(sorted(set(r["labels"].split(",")))) and (r["score"] == 1) >= bool(base)
+
+
+def test_license_texts_in_files(spark):
+    """Every template is found within other words, with a holder's name put in and some words changed; half a text is not."""
+    from factloom.llm import license_texts
+
+    rng = random.Random(3)
+    fill = [w for t in "The story of a small town and its people, who use the river for all their work without any limit".split() for w in (t, "and")]
+    rows, want = [], {}
+    for k, (label, _, text) in enumerate(license_texts.TEXTS):
+        words = text.split()
+        broken = [w if rng.random() > 0.04 or len(words) < 40 else "changed" for w in words]
+        holder = broken[: len(broken) // 3] + (["Example", "Company", "Ltd"] if len(words) > 60 else []) + broken[len(broken) // 3 :]
+        rows += [(2 * k, " ".join(rng.choices(fill, k=40) + words + rng.choices(fill, k=40))), (2 * k + 1, "/* " + "\n * ".join(holder) + " */")]
+        want[2 * k] = label
+    rows += [(500, license_texts.TEXTS[0][2][len(license_texts.TEXTS[0][2]) // 2 :]), (501, " ".join(fill * 50)), (502, "permission is hereby granted to enter")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in want.items():
+        assert label in got[k]["labels"].split(","), (label, got[k])
+    assert sum(want[2 * (k // 2)] in got[k]["labels"].split(",") for k in range(1, 2 * len(license_texts.TEXTS), 2)) >= 0.85 * len(license_texts.TEXTS)
+    assert [got[k]["labels"] for k in (500, 501, 502)] == [""] * 3
+
+
+def test_alignments_against_brute_force():
+    """(template, shift) of the postings equal those of loops over all pairs of places."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    templates = [("a", (t[:3],), t) for t in (" ".join(rng.choices(vocabulary, k=9)) for _ in range(6))]
+    index = licenses.Index([(label, (text.split()[0],), text) for label, _, text in templates])
+    for _ in range(30):
+        words = licenses.hashes(" ".join(rng.choices([*vocabulary, "other", "more"], k=25)))
+        term = index.terms(words)
+        places = [k for k in range(len(words)) if term[k] >= 0]
+        rarest = sorted({int(term[k]) for k in places}, key=lambda t: (-index.idf[t], t))[: licenses.RAREST]
+        votes = {}
+        for k in places:
+            for t, own in enumerate(index.words):
+                for p, w in enumerate(own):
+                    if w == words[k] and term[k] in rarest:
+                        votes.setdefault((t, k - p), set()).add(int(w))
+        assert sorted(index.alignments(np.array(places, int), term[places])) == sorted(x for x, v in votes.items() if len(v) >= licenses.VOTES)
 
 
 VALUES = ["4111111111111111", "5500-0000-0000-0004", "+1 (017) 555-7713", "und.34@mail7.example.com", "235.58.234.215", "2024-02-29", "12/31/1999", "31.12.1999", "123-45-6789", "DE89370400440532013000"]
