@@ -8,8 +8,10 @@ import pytest
 from factloom.llm import components, exact_dedup, kernels, near_dedup, substring_dedup
 
 
-@pytest.mark.parametrize("fan_in", [2, 32])
-def test_exact(docs, texts, fan_in):
+@pytest.mark.parametrize("fan_in", [2, 4, 16])
+def test_exact(docs, texts, fan_in, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 1)
+    docs = docs.repartition(7)
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in texts}
     groups = defaultdict(list)
     for i, t in norm.items():
@@ -22,6 +24,31 @@ def test_exact(docs, texts, fan_in):
         assert got[i]["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_merge_of_sorted_runs():
+    """The multiway merge equals a dictionary, verifies all marks, and its runs stay sorted."""
+    rng = np.random.default_rng(4)
+    runs, want = [], defaultdict(list)
+    for _ in range(9):
+        rows = sorted({(bytes(rng.integers(0, 3, 2, np.uint8)), int(rng.integers(1, 3)), int(rng.integers(1, 3))) for _ in range(12)})
+        run = [(*r, None if rng.random() < 0.2 else int(rng.integers(0, 99)), int(rng.integers(1, 5))) for r in rows]
+        for r in run:
+            want[r[:3]].append(r[3:])
+        runs.append(run)
+    got = list(exact_dedup.merged([iter(r) for r in runs]))
+    assert [g[:3] for g in got] == sorted(want)
+    for g in got:
+        assert g[3:] == (min((i for i, _ in want[g[:3]] if i is not None), default=None), sum(n for _, n in want[g[:3]]))
+
+
+def test_runs_are_sorted(docs):
+    digests = docs.selectExpr("unhex(sha2(coalesce(text, ''), 256)) AS sha", "octet_length(coalesce(text, '')) AS bytes", "xxhash64(coalesce(text, '')) AS check", "doc_id").repartition(3)
+    last = {}
+    for r in exact_dedup.first_runs(digests, 8).collect():
+        assert last.get(r["run"], b"") < r["sha"] and r["segment"] == r["sha"][0] >> 5
+        last[r["run"]] = r["sha"]
+    assert len(last) == 3
+
+
 def test_exact_odd(odd, empty):
     rows = exact_dedup.exact_dedup(odd).collect()
     assert len(rows) == odd.count() and all(not r["kept"] for r in rows if r["doc_id"] is None and r["keep_id"] is not None)
