@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from .common import documents, saved, skew_join, slices, text_buffer
 from .kernels import BYTE, SPACE, U, powers, mix, span_hashes, word_spans
 
-REACH, MIN_WORDS = 16, 50
+#: A cut is a maximum among 32 bytes on either side: chunks of some 65 bytes.
+REACH, MIN_WORDS = 32, 50
 #: Longest chunk; only texts that repeat themselves (runs of one character) reach it.
 MOST = 512
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-CHUNK = "doc_id long, at int, length int, digest long"
-WINDOW = "doc_id long, at int, h long, again boolean"
+CHUNK = "row long, at int, length int, digest long"
+WINDOW = "doc_id long, row long, at int, h long, again boolean"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -76,8 +77,13 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return of, start - off[of], end - start, mix(digest + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row (a hash of both: rows equal in id and text are one) of documents with an id."""
+    return documents(docs).where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """One row per chunk of each document with an id: doc_id, at, length, digest."""
+    """One row per chunk of each row of documents: row, at, length, digest."""
 
     def run(batches):
         for b in batches:
@@ -85,18 +91,29 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 part = b.slice(*s)
                 of, at, length, digest = chunks(part.column("text"))
                 if len(of):
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest.view(np.int64))], names=["doc_id", "at", "length", "digest"])
+                    yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest.view(np.int64))], names=["row", "at", "length", "digest"])
 
-    return documents(docs).where("doc_id IS NOT NULL").mapInArrow(run, CHUNK)
+    return identified(docs).select("text", "row").mapInArrow(run, CHUNK)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): start and end in bytes of the chunks of a document that stand at two places or more."""
+    """(row, spans): start and end in bytes of the chunks of a text that stand at two places or more."""
     table = chunk_table(docs)
     # Partial aggregation leaves one row for each digest and task before the exchange.
     known = table.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    spans = skew_join(table, known, "digest").select("doc_id", F.struct("at", (F.col("at") + F.col("length")).alias("to")).alias("span"))
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    spans = skew_join(table, known, "digest").select("row", F.struct("at", (F.col("at") + F.col("length")).alias("to")).alias("span"))
+    return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Rows of documents without repetitions: only ids and texts that stand there more than once are exchanged."""
+    again = saved(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated-rows")
+    n = again.count()
+    if not n:
+        return rows
+    if n <= BROADCAST_IDS:
+        again = F.broadcast(again)
+    return rows.join(again, "row", "left_anti").unionByName(rows.join(again, "row", "left_semi").dropDuplicates(["row"]))
 
 
 def word_windows(text: np.ndarray, begin: np.ndarray, finish: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +127,7 @@ def word_windows(text: np.ndarray, begin: np.ndarray, finish: np.ndarray, size:
     np.add.at(step, np.minimum(finish, len(text)), -1)
     bare = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) <= 0)])
     cut = cuts(gear(text))
-    # A cut after byte i depends on bytes i - 31 to i + 16.
+    # A cut after byte i depends on bytes i - REACH - 15 to i + REACH; those of a window's first 2 * REACH bytes are left out.
     first, last = np.searchsorted(cut, lo + 2 * REACH), np.searchsorted(cut, hi - REACH, "right") - 1
     good = first >= last
     k = np.flatnonzero(~good)
@@ -120,28 +137,28 @@ def word_windows(text: np.ndarray, begin: np.ndarray, finish: np.ndarray, size:
 
 
 def window_table(texts: DataFrame, size: int) -> DataFrame:
-    """One row per window that may be repeated: doc_id, at (its first word), h, again (seen before in this text)."""
+    """One row per window that may be repeated: doc_id, row, at (its first word), h, again (seen before in this text)."""
 
     def run(batches):
         for b in batches:
             spans = b.column("spans")
-            for k, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+            for k, (doc, row, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True)):
                 own = spans[k].values
                 at, h = word_windows(np.frombuffer(text.encode(), np.uint8), own.field("at").to_numpy(), own.field("to").to_numpy(), size)
                 if len(at):
                     again = np.ones(len(at), bool)
                     again[np.unique(h, return_index=True)[1]] = False
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc), pa.int64()), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(again)], names=["doc_id", "at", "h", "again"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), x), pa.int64()) for x in (doc, row)), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(again)], names=["doc_id", "row", "at", "h", "again"])
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, WINDOW)
+    return texts.select("doc_id", "row", "text", "spans").mapInArrow(run, WINDOW)
 
 
 def copied_windows(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, keep_id, places): first words of a document's windows whose first place is in keep_id; within a document, of those seen earlier in it."""
+    """(row, keep, places): first words of a row's windows whose first place (smallest id, then row) is in the row keep; within a row, of those seen earlier in it."""
     table = window_table(texts, size)
-    owners = table.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").select("h", "keep_id")
-    copied = skew_join(table, owners, "h").where("keep_id < doc_id OR again")
-    return copied.groupBy("doc_id", "keep_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    owners = table.groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("first.row").alias("keep"))
+    copied = skew_join(table, owners, "h").where("keep <> row OR again")
+    return copied.groupBy("row", "keep").agg(F.sort_array(F.collect_set("at")).alias("places"))
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
@@ -197,25 +214,26 @@ def passages(text: str, source: str, places: list[int], same: bool, min_words: i
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per copied passage: doc_id, start, end (code points, end exclusive), n_words, keep_id (the document that keeps the passage).
 
-    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at all its places there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows that repeat an id are read as one another's copies only if their texts repeat themselves. Other columns are not looked at. Empty input: empty output.
+    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at all its places there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows equal in id and text count as one. Rows with one id and several texts are texts of their own: what the second holds of the first is copied (keep_id is that id), and spans are those of the row's own text. Other columns are not looked at. Empty input: empty output.
     """
     spans = saved(repeated_chunks(docs), "repeated-chunks")
-    ids = spans.select("doc_id")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = saved(documents(docs).join(ids, "doc_id"), "passage-texts")
-    runs = saved(copied_windows(texts.join(spans, "doc_id"), min_words), "copied-windows")
-    pairs = runs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("source")), "keep_id")
+    found = spans.select("row")
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
+    texts = once(saved(identified(docs).join(found, "row"), "passage-texts"))
+    runs = saved(copied_windows(texts.join(spans, "row"), min_words), "copied-windows")
+    sources = texts.select(F.col("row").alias("keep"), F.col("doc_id").alias("keep_id"), F.col("text").alias("source"))
+    pairs = runs.join(texts, "row").join(sources, "keep")
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc, keep, places, text, source in zip(*(b.column(c).to_pylist() for c in ("doc_id", "keep_id", "places", "text", "source")), strict=True):
-                rows += [(doc, s, e, n, keep) for s, e, n in passages(text, source, places, doc == keep, min_words)]
+            for doc, keep, same, places, text, source in zip(*(b.column(c).to_pylist() for c in ("doc_id", "keep_id", "same", "places", "text", "source")), strict=True):
+                rows += [(doc, s, e, n, keep) for s, e, n in passages(text, source, places, same, min_words)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "end", "n_words", "keep_id"])
 
-    return pairs.select("doc_id", "keep_id", "places", "text", "source").mapInArrow(run, "doc_id long, start long, end long, n_words long, keep_id long")
+    return pairs.select("doc_id", "keep_id", (F.col("row") == F.col("keep")).alias("same"), "places", "text", "source").mapInArrow(run, "doc_id long, start long, end long, n_words long, keep_id long")
 
 
 def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -204,3 +204,48 @@ def test_substring_lines_of_earlier_documents(spark):
     rows = passage_rows(spark, texts)
     assert {r[0] for r in rows} == set(want)
     assert all(keep == want[doc][0] and want[doc][1] in part for doc, keep, part in rows)
+
+
+def test_substring_repeated_rows(spark):
+    """A row that stands there twice counts once, as source and as copy; a second text of an id may be a copy of its first."""
+    rng = np.random.default_rng(9)
+    shared, other = made_words(rng, 70), made_words(rng, 60)
+    source, copy = f"{made_words(rng, 9)} {shared} {made_words(rng, 9)}", f"{made_words(rng, 20)} {shared} {made_words(rng, 5)}"
+    rows = [(5, source)] * 3 + [(6, copy)] * 2 + [(7, other), (7, made_words(rng, 12) + " " + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["keep_id"], r["n_words"] >= 60) for r in substring_dedup.repeated_passages(df).collect())
+    assert got == [(6, 5, True), (7, 7, True)]
+
+
+def longest_copies(texts, size):
+    """Words of each text that lie in a window of `size` words which stands byte for byte in an earlier text, or earlier in the same one; by plain loops."""
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    seen, out = {}, {}
+    for d, (t, own) in enumerate(zip(texts, spans, strict=True)):
+        for k in range(len(own) - size + 1):
+            window = t[own[k][0] : own[k + size - 1][1]]
+            if seen.setdefault(window, (d, k)) != (d, k):
+                out.setdefault(d, set()).update(range(k, k + size))
+    return out, spans
+
+
+def test_substring_against_brute_force(spark):
+    """Words in reported passages are just those of windows that stand earlier, for texts that share passages of all lengths; passages are copies."""
+    rng = np.random.default_rng(12)
+    parts = [made_words(rng, int(n)) for n in rng.integers(20, 120, 14)]
+    texts = []
+    for _ in range(40):
+        own = [parts[rng.integers(len(parts))] if rng.random() < 0.5 else made_words(rng, int(rng.integers(1, 60))) for _ in range(rng.integers(1, 6))]
+        texts.append(" ".join(own))
+    texts += ["", "word " * 400, made_words(rng, 49), "é ü " * 60]
+    want, spans = longest_copies(texts, 50)
+    got = {}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in substring_dedup.repeated_passages(df).collect():
+        assert texts[r["doc_id"]][r["start"] : r["end"]] in texts[r["keep_id"]]
+        words = {k for k, (a, b) in enumerate(spans[r["doc_id"]]) if a >= r["start"] and b <= r["end"]}
+        assert len(words) == r["n_words"] >= 50
+        got.setdefault(r["doc_id"], set()).update(words)
+    assert set(got) == set(want)
+    for d in want:
+        assert want[d] <= got[d]
