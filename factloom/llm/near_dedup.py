@@ -1,9 +1,8 @@
 """Near-duplicate detection by MinHash and a multi-index Hamming join.
 
 1. Each text's shingle set (5 words) becomes a signature of CHUNKS x CHUNK symbols of 16 bits. Texts with one word sequence are one class.
-2. Pigeonhole: two signatures that differ in at most CHUNKS * 2 - 1 symbols have a chunk with one error at most. Each chunk's allowed error is enumerated by leaving out one symbol at a time, so each signature has CHUNKS * CHUNK keys and all pairs under that distance share one.
-3. Rows of one key are compared by signature distance; what is close is contracted at once to links member - smallest member, so a key with n rows gives fewer than n links. Keys with more than BLOCK rows are dealt out as pairs of blocks.
-4. Components of those links are groups of candidates. Groups are compared on full shingle sets, nearest signatures first, leaving out pairs already connected; groups over BLOCK go as pairs of blocks. What links under the similarity gives the final components.
+2. Pigeonhole: two signatures that differ in at most DISTANCE = CHUNKS * 2 - 1 symbols have a chunk with one error at most. Each chunk's allowed error is enumerated by leaving out one symbol at a time, so each signature has CHUNKS * CHUNK keys, and all pairs up to DISTANCE share one.
+3. Rows that share a key form a group, and so do, afterwards, rows that links between signatures up to DISTANCE apart connect. Links are found in groups of either kind in the same way, by signatures alone at first, by full shingle sets then. A group is dealt over blocks, each row once, with a few pivot rows of the group in all of them. Within a block rows meet the pivots first; then only rows outside the largest part meet the others. What still is outside a group's largest part after all links are joined meets, in a second round, the rows of that group's other parts. So a group of copies costs as much as it has rows, and no pair goes unseen.
 """
 
 from __future__ import annotations
@@ -19,17 +18,18 @@ from .components import components, local_components
 from .kernels import U, doc_words, mix, windows
 
 WORDS, PERCENT = 5, 75
-CHUNKS, CHUNK = 12, 4
-#: Signature distance (of CHUNKS * CHUNK symbols) up to which candidates are compared on full sets; all pairs up to CHUNKS * 2 - 1 are found for certain, those between if they share a key (at a similarity of 0.75 all but one in ten million do).
-DISTANCE = 27
-BLOCK = 2048
-#: Ids that may be broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
+CHUNKS, CHUNK = 20, 4
+#: Signature distance (of CHUNKS * CHUNK symbols) up to which rows are compared; the keys find all such pairs. At a similarity of exactly 0.75, one pair in 760,000 is further apart.
+DISTANCE = CHUNKS * 2 - 1
+#: Rows of a block of signatures; rows and bytes of a block of texts; rows of a group that all its blocks get.
+BLOCK, TEXT_ROWS, TEXT_BYTES, PIVOTS = 1024, 512, 8 << 20, 4
+#: Ids that may be broadcast, with group, block and digest (some 50 bytes each).
+BROADCAST_IDS = 500_000
 
 SIZE = CHUNKS * CHUNK
 TIMES = mix(np.arange(1, SIZE + 1, dtype=U)) | U(1)
 PLUS = mix(np.arange(1001, SIZE + 1001, dtype=U))
-SIGNED = "doc_id long, digest binary, n_shingles long, sig binary"
+SIGNED = "doc_id long, digest binary, n_shingles long, size long, sig binary"
 
 
 def signatures(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -50,6 +50,11 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return words, np.searchsorted(of, at), shingles, np.searchsorted(doc, at)
 
 
+def digests(words: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A digest of each text's word sequence."""
+    return [xxhash.xxh3_128_digest(words[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def sign(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -62,8 +67,8 @@ def sign(docs: DataFrame) -> DataFrame:
                     for k, x in zip(some, signatures(shingles, s_at[some]), strict=True):
                         sig[k] = x.tobytes()
                 n = [len(np.unique(shingles[i:j])) for i, j in zip(s_at[:-1], s_at[1:], strict=True)]
-                digest = [xxhash.xxh3_128_digest(words[i:j].tobytes()) for i, j in zip(w_at[:-1], w_at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "digest", "n_shingles", "sig"])
+                size = np.diff(text_buffer(part.column("text"))[1])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(words, w_at), pa.binary()), pa.array(n, pa.int64()), pa.array(size), pa.array(sig, pa.binary())], names=[c.split()[0] for c in SIGNED.split(", ")])
 
     return documents(docs).mapInArrow(run, SIGNED)
 
@@ -91,28 +96,45 @@ def keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def in_blocks(rows: DataFrame, by: str, count: str) -> DataFrame:
-    """Rows with the columns i, j: those of a group within BLOCK once (0, 0), those of a larger group once for each pair of blocks they are in."""
-    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", count)
+def dealt(rows: DataFrame, blocks: str) -> DataFrame:
+    """Rows with the columns i, j: each row in one of its group's blocks (i), a pivot in all of them; j is 0."""
+    own = F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    at = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)).otherwise(F.array(own))
+    return rows.withColumn("i", F.explode(at)).withColumn("j", F.lit(0)).drop("pivot", blocks)
+
 
+def crossed(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (by, id, label, weight) of large groups for the second round: i, j, left. The group's rows are dealt over blocks i, and those outside its largest part (left), which must meet the others, over blocks j; each side is in all blocks of the other. Groups of one part go.
 
-def grouped(batches, columns: tuple[str, ...], enough: int):
-    """Tables of whole groups (equal values of columns, rows sorted by them) with about `enough` rows: (table, group starts)."""
-    rest = None
+    weight: the share of a block that a row takes up.
+    """
+    parts = rows.groupBy(by, "label").agg(F.sum("weight").alias("w"))
+    total = parts.groupBy(by).agg(F.sum("w").alias("all"), F.max_by("label", F.struct("w", "label")).alias("top"), F.max("w").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    apart = skew_join(rows, total.select(by, "top", F.ceil("all").cast("int").alias("ni"), F.ceil(F.col("all") - F.col("most")).cast("int").alias("nj")), by)
+    hashed = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    right = apart.withColumn("i", hashed("ni")).withColumn("j", every("nj")).withColumn("left", F.lit(False))
+    left = apart.where("label <> top").withColumn("j", hashed("nj")).withColumn("i", every("ni")).withColumn("left", F.lit(True))
+    return right.unionByName(left).drop("top", "ni", "nj", "weight")
+
+
+def grouped(batches, columns: tuple[str, ...], enough: int, most: int = 64 << 20):
+    """Tables of whole groups (equal values of columns, rows sorted by them) with about `enough` rows or `most` bytes: (table, group starts)."""
+    parts, n, size = [], 0, 0
     for b in batches:
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        if rest.num_rows < enough:
+        parts.append(pa.Table.from_batches([b]))
+        n, size = n + b.num_rows, size + b.nbytes
+        if n < enough and size < most:
             continue
+        rest = pa.concat_tables(parts)
         start = group_starts(rest, columns)
         if start[-1]:
             yield rest.slice(0, start[-1]).combine_chunks(), start[:-1]
             rest = rest.slice(start[-1])
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks(), group_starts(rest, columns)
+        parts, n, size = [rest], rest.num_rows, rest.nbytes
+    if n:
+        rest = pa.concat_tables(parts).combine_chunks()
+        yield rest, group_starts(rest, columns)
 
 
 def group_starts(t: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
@@ -124,22 +146,73 @@ def group_starts(t: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def close_pairs(sig: np.ndarray, own: np.ndarray, i: int, j: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b, distance) of rows up to `most` apart; in a pair of two blocks only pairs across."""
-    left, right = (np.arange(len(sig)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-    found = []
-    step = max(1, 4_000_000 // max(1, SIZE * len(right)))
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        d = np.full((len(rows), len(right)), SIZE, np.uint8)
-        for k in range(SIZE):
-            d -= sig[rows, k][:, None] == sig[right, k][None, :]
-        a, b = np.nonzero(d <= most)
-        if i == j:
-            upper = rows[a] < right[b]
-            a, b = a[upper], b[upper]
-        found.append((rows[a], right[b], d[a, b]))
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+def distances(sig: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Differing symbols between each of rows and all signatures."""
+    d = np.full((len(rows), len(sig)), SIZE, np.uint8)
+    for k in range(SIZE):
+        d -= sig[rows, k][:, None] == sig[:, k][None, :]
+    return d
+
+
+class Parts:
+    """Which rows are connected: a label for each."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label.copy()
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.label[x], self.label[y]
+        self.label[self.label == max(a, b)] = min(a, b)
+
+    def outside(self) -> np.ndarray:
+        """The rows that are not in the largest part."""
+        names, at, n = np.unique(self.label, return_inverse=True, return_counts=True)
+        return np.flatnonzero(at != np.argmax(n))
+
+
+def connect(sig: np.ndarray, distance: int, agree=None, label: np.ndarray | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (x, y) of rows up to `distance` apart, and alike by agree(x, y) if given, that connect all that such links connect.
+
+    label: parts that are connected already; left: only these rows meet the others. Else a few rows meet all; those still outside the largest part then do, too. So of any two rows in different parts one has met the other.
+    """
+    parts = Parts(np.arange(len(sig)) if label is None else label)
+    out: list[tuple[int, int]] = []
+
+    def meet(rows: np.ndarray) -> None:
+        step = max(1, 2_000_000 // (len(sig) + 1))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            d = distances(sig, part)
+            a, b = np.nonzero((d <= distance) & (parts.label[part][:, None] != parts.label[None, :]))
+            order = np.argsort(d[a, b], kind="stable")
+            for x, y in zip(part[a[order]].tolist(), b[order].tolist(), strict=True):
+                if parts.label[x] != parts.label[y] and (agree is None or agree(x, y)):
+                    parts.join(x, y)
+                    out.append((x, y))
+
+    if left is not None:
+        meet(left)
+        return out
+    meet(np.zeros(1, np.int64))
+    for _ in range(PIVOTS):
+        rest = parts.outside()
+        if len(rest) > 1:
+            meet(rest[:1])
+    meet(parts.outside())
+    return out
+
+
+def signatures_of(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SIZE)
+
+
+def links_of(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    """Links between ids that connect what pairs of rows connect."""
+    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+    nodes, at = np.unique(ids, return_inverse=True)
+    label = local_components(at[a], at[b], len(nodes))
+    x = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[label[x]])], names=["a", "b"]) if len(x) else None
 
 
 def small_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,79 +230,63 @@ def small_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
 FEW = 12
 
 
-def candidate_links(buckets: DataFrame, distance: int) -> DataFrame:
-    """(a, b) links that connect what is close within buckets (key, i, j, own, id, sig)."""
+def as_pairs(start: int, found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.array(found, np.int64).reshape(-1, 2) + start
+    return pairs[:, 0], pairs[:, 1]
+
+
+def candidate_links(buckets: DataFrame, distance: int, second: bool = False) -> DataFrame:
+    """(a, b) links that connect what is close within blocks (key, i, j, id, sig); second: of the second round, with label and left."""
 
     def run(batches):
         for t, start in grouped(batches, ("key", "i", "j"), 50_000):
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SIZE)
-            ids, own, i, j = (t.column(c).to_numpy() for c in ("id", "own", "i", "j"))
+            sig, ids = signatures_of(t), t.column("id").to_numpy()
             size = np.diff(np.append(start, t.num_rows))
-            few = (size <= FEW) & (i[start] == j[start])
-            a, b = small_pairs(start[few], size[few])
             pairs = []
+            few = size <= (0 if second else FEW)
+            a, b = small_pairs(start[few], size[few])
             for at in range(0, len(a), 100_000):
                 x, y = a[at : at + 100_000], b[at : at + 100_000]
                 near = (sig[x] != sig[y]).sum(1) <= distance
                 pairs.append((x[near], y[near]))
             for s, n in zip(start[~few], size[~few], strict=True):
-                x, y, _ = close_pairs(sig[s : s + n], own[s : s + n], i[s], j[s], distance)
-                label = local_components(x, y, n)
-                x = np.flatnonzero(label != np.arange(n))
-                pairs.append((s + x, s + label[x]))
-            a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-            nodes, at = np.unique(ids, return_inverse=True)
-            label = local_components(at[a], at[b], len(nodes))
-            x = np.flatnonzero(label != np.arange(len(nodes)))
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[label[x]])], names=["a", "b"])
+                own = (t.column("label").to_numpy()[s : s + n], np.flatnonzero(t.column("left").to_numpy()[s : s + n])) if second else (None, None)
+                pairs.append(as_pairs(s, connect(sig[s : s + n], distance, None, *own)))
+            if (out := links_of(ids, pairs)) is not None:
+                yield out
 
-    return buckets.mapInArrow(run, "a long, b long")
+    return buckets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def verified_links(groups: DataFrame, percent: int, distance: int) -> DataFrame:
-    """(a, b) links that connect what is similar by full shingle sets within groups (root, i, j, own, id, sig, text)."""
+def verified_links(groups: DataFrame, percent: int, distance: int, second: bool = False) -> DataFrame:
+    """(a, b) links that connect what is similar by full shingle sets within blocks (root, i, j, id, digest, text); rows whose text isn't that of digest go. second: of the second round, with label and left."""
 
     def run(batches):
-        for t, start in grouped(batches, ("root", "i", "j"), 500):
+        for t, start in grouped(batches, ("root", "i", "j"), TEXT_ROWS, TEXT_BYTES):
             size = np.diff(np.append(start, t.num_rows))
             texts = t.column("text").combine_chunks() if isinstance(t.column("text"), pa.ChunkedArray) else t.column("text")
             texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-            sets = []
+            sets, sig, own = [], np.zeros((t.num_rows, SIZE), np.uint16), []
             for s in slices(texts):
-                _, _, shingles, at = shingle_sets(texts.slice(*s))
+                words, w_at, shingles, at = shingle_sets(texts.slice(*s))
                 sets += [np.unique(shingles[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SIZE)
-            ids, own, i, j = (t.column(c).to_numpy() for c in ("id", "own", "i", "j"))
-            out = []
+                own += digests(words, w_at)
+                some = np.flatnonzero(at[1:] > at[:-1])
+                if len(some):
+                    sig[s[0] + some] = signatures(shingles, at[some])
+            right = np.array([x == y and len(z) > 0 for x, y, z in zip(own, t.column("digest").to_pylist(), sets, strict=True)], bool)
+            ids, pairs = t.column("id").to_numpy(), []
             for s, n in zip(start, size, strict=True):
-                if n > 1:
-                    a, b, d = close_pairs(sig[s : s + n], own[s : s + n], i[s], j[s], distance)
-                    out += [(ids[s + x], ids[s + y]) for x, y in spanning(sets[s : s + n], a, b, d, percent)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long")
-
-
-def spanning(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, d: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between similar sets, enough to connect all that links connect; nearest signatures are tried first."""
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    order = np.argsort(d, kind="stable")
-    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q and similar(sets[x], sets[y], percent):
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+                rows = s + np.flatnonzero(right[s : s + n])
+                if len(rows) > 1:
+                    more = (t.column("label").to_numpy()[rows], np.flatnonzero(t.column("left").to_numpy()[rows])) if second else (None, None)
+                    found = connect(sig[rows], distance, lambda x, y, rows=rows: similar(sets[rows[x]], sets[rows[y]], percent), *more)
+                    a, b = as_pairs(0, found)
+                    pairs.append((rows[a], rows[b]))
+            if (out := links_of(ids, pairs)) is not None:
+                yield out
+
+    return groups.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -243,6 +300,35 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (short + long - common)
 
 
+def pivots(rows: DataFrame, by: str) -> DataFrame:
+    """(by, pivot_ids): up to PIVOTS rows of each group, those with the smallest hashes."""
+    least = [F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(PIVOTS)]
+    return rows.groupBy(by).agg(F.array_distinct(F.array(*least)).alias("pivot_ids"))
+
+
+def labelled(rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """rows with label: the smallest id that theirs is connected with."""
+    return rows.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root_of", "id")).drop("root_of")
+
+
+def candidate_groups(reps: DataFrame, distance: int) -> DataFrame:
+    """(node, root) of representatives that signatures up to `distance` apart connect."""
+    all_keys = keys(reps)
+    shared = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = saved(skew_join(all_keys, shared, "key").select("key", "id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key-members")
+    sig = reps.select("id", "sig")
+    large = members.where("blocks > 1")
+    at = skew_join(large, pivots(large, "key"), "key").select("key", "id", "blocks", F.array_contains("pivot_ids", F.col("id")).alias("pivot"))
+    first = dealt(at.unionByName(members.where("blocks = 1").withColumn("pivot", F.lit(False))), "blocks")
+    links = saved(candidate_links(first.join(sig, "id"), distance), "candidate-links")
+    rooted = components(links)
+    if large.isEmpty():
+        return rooted
+    own = labelled(large.select("key", "id", F.lit(1 / BLOCK).alias("weight")), rooted.withColumnRenamed("root", "root_of"))
+    more = saved(candidate_links(crossed(own, "key").join(sig, "id"), distance, second=True), "candidate-links")
+    return rooted if more.isEmpty() else components(links.unionByName(more))
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT, distance: int = DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -250,24 +336,33 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, distance: int = DISTANCE
     """
     signed = saved(sign(docs), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "representatives")
-    all_keys = keys(reps)
-    shared = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = skew_join(all_keys, shared, "key").join(reps.select("id", "sig"), "id")
-    buckets = in_blocks(members, "key", "n").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rooted = components(candidate_links(buckets, distance))
-    grouping = saved(rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("id"), "root"), "candidate-groups")
-    sizes = grouping.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = grouping.join(sizes, "root").join(reps.select("id", "digest", "sig"), "id")
-    if grouping.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    # An id that comes with several texts stands for its smallest signature's digest: take the text of that digest.
-    texts = documents(docs).withColumnRenamed("doc_id", "id").join(wanted, "id").select("root", "n", "id", "sig", "text")
-    groups = in_blocks(texts, "root", "n").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    linked = components(verified_links(groups, percent, distance))
+    reps = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.max("size").alias("size")), "representatives")
+    rooted = candidate_groups(reps, distance)
+    members = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
+    weighed = members.join(reps.select("id", "digest", (F.greatest(F.lit(1 / TEXT_ROWS), F.col("size") / TEXT_BYTES)).alias("weight")), "id")
+    weighed = saved(weighed, "candidate-groups")
+    sizes = weighed.groupBy("root").agg(F.ceil(F.sum("weight")).cast("int").alias("blocks"))
+    sized = saved(skew_join(weighed, sizes, "root"), "candidate-blocks")
+    large = sized.where("blocks > 1")
+    at = skew_join(large, pivots(large, "root"), "root").withColumn("pivot", F.array_contains("pivot_ids", F.col("id"))).drop("pivot_ids")
+    first = dealt(at.unionByName(sized.where("blocks = 1").withColumn("pivot", F.lit(False))), "blocks").drop("weight")
+    links = saved(verified_links(with_texts(docs, first), percent, distance), "links")
+    linked = components(links)
+    if not large.isEmpty():
+        own = labelled(large.select("root", "id", "digest", "weight"), linked.withColumnRenamed("root", "root_of"))
+        more = saved(verified_links(with_texts(docs, crossed(own, "root")), percent, distance, second=True), "links")
+        if not more.isEmpty():
+            linked = components(links.unionByName(more))
     classes = usable.select("doc_id", "digest").distinct().join(reps.select("digest", "id"), "digest")
     by_class = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("component_id"))
     own = by_class.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(own, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (id, ...) with the texts of their ids; an id with several texts comes with each, and the digest tells which is meant."""
+    wanted = saved(rows, "wanted-texts")
+    few = wanted.count() <= BROADCAST_IDS
+    return documents(docs).withColumnRenamed("doc_id", "id").join(F.broadcast(wanted) if few else wanted, "id")

@@ -77,9 +77,10 @@ def brute(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_near(docs, texts, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "TEXT_ROWS", block)
     want = brute(texts)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(docs).collect()}
     assert got == want
@@ -98,10 +99,85 @@ def test_near_odd(odd, empty):
     assert near_dedup.near_dedup(empty).collect() == []
 
 
+def planted(n=300):
+    """Texts around one template at every degree of likeness, in parts that hang together by few links, and copies of them."""
+    rng = np.random.default_rng(7)
+    base = made_words(rng, 120).split()
+    texts = []
+    for part in range(6):
+        own = list(base)
+        for k in rng.choice(120, 5 + 5 * part, replace=False):
+            own[k] = made_words(rng, 1)
+        for _ in range(n // 6):
+            w = list(own)
+            for k in rng.choice(120, rng.integers(0, 12), replace=False):
+                w[k] = made_words(rng, 1)
+            texts.append(" ".join(w[: rng.integers(90, 121)]))
+    texts += texts[::9]
+    return [(int(i), texts[k]) for k, i in enumerate(rng.permutation(len(texts)))]
+
+
+@pytest.mark.parametrize("block", [1024, 20])
+def test_near_in_large_groups(spark, block, monkeypatch):
+    """A group of likeness in all degrees, whole or in many blocks, equals brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "TEXT_ROWS", block)
+    texts = planted()
+    want = brute(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
+def test_connect_against_all_pairs():
+    """Components of connect() equal those of all pairs, in one block and in two rounds of blocks."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        n = int(rng.integers(6, 40))
+        centre = rng.integers(0, 1 << 16, (3, near_dedup.SIZE), dtype=np.uint16)
+        sig = centre[rng.integers(0, 3, n)].copy()
+        for row in sig:
+            at = rng.choice(near_dedup.SIZE, rng.integers(0, 45), replace=False)
+            row[at] = rng.integers(0, 1 << 16, len(at))
+        alike = rng.random((n, n)) < 0.7
+        alike |= alike.T
+        d = near_dedup.distances(sig, np.arange(n))
+        assert (d == (sig[:, None] != sig[None]).sum(2)).all()
+        a, b = np.nonzero((d <= near_dedup.DISTANCE) & alike)
+        want = components.local_components(a, b, n)
+
+        def agree(x, y, alike=alike):
+            return alike[x, y]
+
+        def label(links, n=n):
+            x = np.array(links, np.int64).reshape(-1, 2)
+            return components.local_components(x[:, 0], x[:, 1], n)
+
+        assert (label(near_dedup.connect(sig, near_dedup.DISTANCE, agree)) == want).all()
+        rows = [np.flatnonzero(np.arange(n) % 3 == k) for k in range(3)]
+        links = [(r[x], r[y]) for r in rows for x, y in near_dedup.connect(sig[r], near_dedup.DISTANCE, lambda x, y, r=r: alike[r[x], r[y]])]
+        before = label(links)
+        out = near_dedup.Parts(before).outside()
+        links += near_dedup.connect(sig, near_dedup.DISTANCE, agree, before, out)
+        assert (label(links) == want).all()
+
+
+def test_rows_sent_grow_with_the_group(spark):
+    """A hot group of one part is sent once, with the pivots; what is outside its part adds the group once for each block of it."""
+    n = 5000
+    rows = spark.range(n).selectExpr("7L AS root", "id", f"cast(ceil({n} / 512) AS int) AS blocks").withColumn("pivot", near_dedup.F.col("id") < 4)
+    sent = near_dedup.dealt(rows, "blocks")
+    assert sent.count() == n - 4 + 4 * 10 and sent.groupBy("i").count().agg({"count": "max"}).first()[0] < 700
+    parts = spark.range(n).selectExpr("7L AS root", "id", "if(id < 30, id, 30L) AS label", "1 / 512D AS weight")
+    cross = near_dedup.crossed(parts, "root")
+    assert cross.count() == n + 30 * 10
+    assert near_dedup.crossed(parts.withColumn("label", near_dedup.F.lit(1)), "root").isEmpty()
+
+
 def test_all_pairs_under_the_distance_share_a_key():
     rng = np.random.default_rng(3)
     sig = rng.integers(0, 1 << 16, (200, near_dedup.SIZE), dtype=np.uint16)
-    for most in range(2 * near_dedup.CHUNKS):
+    assert near_dedup.DISTANCE == 2 * near_dedup.CHUNKS - 1
+    for most in range(near_dedup.DISTANCE + 1):
         other = sig.copy()
         for row in other:
             row[rng.choice(near_dedup.SIZE, most, replace=False)] ^= 1
