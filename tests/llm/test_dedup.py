@@ -325,3 +325,37 @@ def test_substring_against_brute_force(spark):
     assert set(got) == set(want)
     for d in want:
         assert want[d] <= got[d]
+
+
+def exact_components(ids, sets):
+    """Components of all pairs at a similarity of 0.75: every pair that shares one of its rarest shingles is compared (a pair at that similarity must)."""
+    count = Counter(x for s in sets for x in s)
+    lists, parent = defaultdict(list), {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k in sorted(range(len(ids)), key=lambda k: len(sets[k])):
+        own = sorted(sets[k], key=lambda x: (count[x], x))
+        prefix = own[: len(own) - -(-75 * len(own) // 100) + 1]
+        for j in {j for x in prefix for j in lists[x]}:
+            p, q = find(ids[k]), find(ids[j])
+            if p != q:
+                both = len(sets[k] & sets[j])
+                if 100 * both >= 75 * (len(sets[k]) + len(sets[j]) - both):
+                    parent[max(p, q)] = min(p, q)
+        for x in prefix:
+            lists[x].append(k)
+    return {i: find(i) for i in ids}
+
+
+def test_near_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [shingles(r["text"]) for r in rows]
+    want = exact_components([r["doc_id"] for r in rows], sets)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(docs).collect()}
+    assert got == {r["doc_id"]: (len(s), want[r["doc_id"]]) for r, s in zip(rows, sets, strict=True)}
