@@ -1,7 +1,9 @@
+import base64
 import datetime
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -23,12 +25,120 @@ def test_secret_scan(spark):
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
-def test_automata_generalise():
-    rng_values = secrets.labelled(seed=99, examples=20)
-    scanner = secrets.Scanner()
-    found = sum(scanner.kind_of(v) is not None for _, v in rng_values if re.search("[0-9]", v))
-    assert found >= 0.9 * len(rng_values)
-    assert sum(scanner.kind_of(v) is not None for v in secrets.ordinary(seed=123) if len(v) >= 16) <= 6
+@pytest.fixture(scope="module")
+def scanner():
+    return secrets.Scanner()
+
+
+def drawn(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_states_merge_and_keep_structure(scanner):
+    """A fixed-length format keeps a state for each place; formats of varying lengths merge most of their tree."""
+    states = {kind: (len(a.red), a.tree) for kind, a in scanner.automata}
+    assert states["github"] == (37, 37) and states["gitlab"] == (21, 21)
+    assert 2 < states["slack"][0] < states["slack"][1] / 3 and 10 < states["webtoken"][0] < states["webtoken"][1] / 10
+
+
+def test_merging_finds_a_loop():
+    """From (ab)* with geometric lengths the tree of many states becomes a few with a loop; all strings of that language are accepted."""
+    rng = random.Random(1)
+    values = ["key" + "a." * (1 + min(int(rng.expovariate(0.35)), 25)) for _ in range(800)]
+    a = secrets.Automaton([v + "a" * 3 for v in values])
+    assert len(a.red) < a.tree
+
+
+def test_formats_are_told_from_look_alikes(scanner):
+    rng = random.Random(99)
+    right = defaultdict(list)
+    for kind, value in secrets.labelled(seed=99, examples=30):
+        right[kind].append(scanner.kind_of(value) == kind)
+    assert all(sum(r) >= 0.95 * len(r) for r in right.values())  # a short key may look like words
+    rejected = [
+        lambda: "ghp_" + drawn(rng, secrets.ALNUM, 14), lambda: "ghp_" + drawn(rng, secrets.ALNUM, 37), lambda: drawn(rng, secrets.ALNUM, 20), lambda: drawn(rng, secrets.HEX_UP, 36), lambda: drawn(rng, secrets.NUM, 32),
+        lambda: "-".join(drawn(rng, secrets.HEX_LOW, n) for n in (8, 4, 4, 4, 12)), lambda: drawn(rng, secrets.LOW, 32), lambda: "xoxb-" + drawn(rng, secrets.ALNUM, 48),
+    ]
+    for make in rejected:
+        assert not any(scanner.found(make()) for _ in range(60))
+    caught = [
+        lambda: base64.b64encode(rng.randbytes(32)).decode(), lambda: base64.b64encode(rng.randbytes(16)).decode(), lambda: drawn(rng, secrets.LOW + secrets.UP, 40),
+        lambda: ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"%d","admin":true,"iat":1516239022}' % rng.randrange(10**9), rng.randbytes(32))),
+    ]
+    for make in caught:
+        assert sum(scanner.kind_of(make()) is not None for _ in range(60)) >= 57
+    assert not any(scanner.found(v) for v in secrets.ordinary(seed=123))
+
+
+def test_candidates_within_runs(scanner):
+    """A credential is found behind a name and a separator, at a sentence's end, in a path; its neighbours stay out."""
+    rng = random.Random(5)
+    key, token = drawn(rng, secrets.ALNUM, 40), "ghp_" + drawn(rng, secrets.ALNUM, 36)
+    for before, value, after in (("AWS_ACCESS_KEY=", key, ""), ("GITHUB_PAT=", token, ""), ("see ", token, "."), ("a/b/", key, "/c"), ("x?key=", "AIza" + drawn(rng, secrets.ALNUM, 35), "&y=z"), ("é ", token, " é")):
+        base, more = scanner.scan(before + value + after)
+        assert not base and [(s, e) for s, e, _ in more] == [(len(before), len(before) + len(value))]
+    assert scanner.found("x" + token) == []
+
+
+def test_no_secrets_in_ordinary_documents(spark, scanner, sf_dir):
+    """The words of the documents are no secrets: what is added there lies in runs that hold digits."""
+    for sf in (sf_dir, "/root/testdata/sf0.01"):
+        for (text,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+            base, more = scanner.scan(text or "")
+            assert all(any(c.isdigit() for c in text[s:e]) for s, e, _ in more)
+            words = re.sub("[0-9]", "", text or "")
+            assert not scanner.scan(words)[1]
+
+
+def walk_spans(text):
+    """The fixed patterns by hand: from each place the longest match, left to right, without regular expressions."""
+    names, low = ("password", "passwd", "secret", "token", "api_key", "apikey"), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    out = []
+
+    def run(at, letters):
+        while at < len(text) and text[at] in letters:
+            at += 1
+        return at
+
+    def assign(at):
+        name = next((n for n in names if low.startswith(n, at)), None)
+        if name is None:
+            return None
+        at += len(name)
+        at += at < len(text) and text[at] in "\"'"
+        at = run(at, " ")
+        if at >= len(text) or text[at] not in ":=":
+            return None
+        at = run(at + 1, " ")
+        at += at < len(text) and text[at] in "\"'"
+        end = run(at, secrets.ALNUM + "+/_.=-")
+        return (end, end - at) if end > at else None
+
+    for kind, least, match in (
+        ("assign", 6, assign), ("access", 20, lambda k: (e, e - k) if text.startswith("AKIA", k) and (e := run(k + 4, secrets.UP + secrets.NUM)) > k + 4 else None), ("hex", 24, lambda k: (e, e - k) if (e := run(k, secrets.HEX_LOW)) > k else None),
+    ):
+        at = 0
+        while at < len(text):
+            found = match(at)
+            if found and found[1] >= least:
+                out.append((at, ("assign", "access", "hex").index(kind), kind, found[0]))
+            at = found[0] if found else at + 1
+    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+
+
+def test_base_spans_against_a_walk(spark):
+    """All contract columns of the fixed patterns, over texts strewn with pieces of them."""
+    rng = random.Random(6)
+    pieces = ["password", "passwd", "SECRET", "ToKen", "api_key", "apikey", "API-key", '"', "'", " ", "  ", ":", "=", ":=", "AKIA", "AKIAAKIA", "Z9" * 9, "0a1b2c" * 5, "deadbeef", "abc.def", "é", "\n", "x", "ABCDEF", "+/=", "token", "12345"]
+    rows = [(k, "".join(rng.choices(pieces, k=rng.randint(0, 60)))) for k in range(400)] + [(900, None), (901, "")]
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = walk_spans(dict(rows)[r["doc_id"]] or "")
+        listed = [f"{kind}:{s}:{e}" for kind, s, e in want]
+        n = Counter(kind for kind, _, _ in want)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (n["assign"], n["access"], n["hex"])
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        every = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in every if x.split(":")[0] in secrets.ORDER] == listed and len(every) - len(listed) == r["n_added"]
 
 
 def test_license_scan(spark):
