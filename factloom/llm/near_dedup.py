@@ -22,7 +22,7 @@ CHUNKS, CHUNK = 20, 4
 #: Signature distance (of CHUNKS * CHUNK symbols) up to which rows are compared; the keys find all such pairs. At a similarity of exactly 0.75, one pair in 760,000 is further apart.
 DISTANCE = CHUNKS * 2 - 1
 #: Rows of a block of signatures; rows and bytes of a block of texts; rows of a group that all its blocks get.
-BLOCK, TEXT_ROWS, TEXT_BYTES, PIVOTS = 1024, 512, 8 << 20, 4
+BLOCK, TEXT_ROWS, TEXT_BYTES, PIVOTS = 1024, 256, 8 << 20, 4
 #: Ids that may be broadcast, with group, block and digest (some 50 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -324,7 +324,9 @@ def candidate_groups(reps: DataFrame, distance: int) -> DataFrame:
     rooted = components(links)
     if large.isEmpty():
         return rooted
-    own = labelled(large.select("key", "id", F.lit(1 / BLOCK).alias("weight")), rooted.withColumnRenamed("root", "root_of"))
+    # A row has CHUNKS * CHUNK keys at most: they wait in an array while its label is joined.
+    by_row = labelled(large.groupBy("id").agg(F.collect_list("key").alias("keys")), rooted.withColumnRenamed("root", "root_of"))
+    own = by_row.select(F.explode("keys").alias("key"), "id", "label", F.lit(1 / BLOCK).alias("weight"))
     more = saved(candidate_links(crossed(own, "key").join(sig, "id"), distance, second=True), "candidate-links")
     return rooted if more.isEmpty() else components(links.unionByName(more))
 
