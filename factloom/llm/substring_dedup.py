@@ -19,8 +19,10 @@ REACH, MIN_WORDS = 32, 50
 MOST = 512
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-CHUNK = "row long, at int, length int, digest long"
-WINDOW = "doc_id long, row long, at int, h long, again boolean"
+#: Keys of further texts of an id begin here.
+FURTHER = 1 << 62
+CHUNK = "key long, at int, length int, digest long"
+WINDOW = "key long, at int, h long, again boolean"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -78,12 +80,25 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row (a hash of both: rows equal in id and text are one) of documents with an id."""
-    return documents(docs).where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    """key, doc_id and text of documents with an id, each id and text once. key is doc_id, but a number beyond all ids for the second text of an id and further ones.
+
+    Where no id is repeated, only the ids are exchanged.
+    """
+    own = documents(docs).where("doc_id IS NOT NULL")
+    again = saved(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    n = again.count()
+    if not n:
+        return own.select(F.col("doc_id").alias("key"), "doc_id", "text")
+    few = F.broadcast if n <= BROADCAST_IDS else lambda rows: rows
+    h = F.xxhash64("text")
+    first = saved(own.join(few(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(h).alias("first")), "first-texts")
+    further = F.xxhash64("doc_id", "text").bitwiseAND(FURTHER - 1) + F.lit(FURTHER)
+    several = own.join(few(first), "doc_id").select(F.when(h == F.col("first"), F.col("doc_id")).otherwise(further).alias("key"), "doc_id", "text")
+    return own.join(few(again), "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "doc_id", "text").unionByName(several.dropDuplicates(["key"]))
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """One row per chunk of each row of documents: row, at, length, digest."""
+def chunk_table(texts: DataFrame) -> DataFrame:
+    """One row per chunk of each text: key, at, length, digest."""
 
     def run(batches):
         for b in batches:
@@ -91,29 +106,18 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 part = b.slice(*s)
                 of, at, length, digest = chunks(part.column("text"))
                 if len(of):
-                    yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest.view(np.int64))], names=["row", "at", "length", "digest"])
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest.view(np.int64))], names=["key", "at", "length", "digest"])
 
-    return identified(docs).select("text", "row").mapInArrow(run, CHUNK)
+    return texts.select("text", "key").mapInArrow(run, CHUNK)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(row, spans): start and end in bytes of the chunks of a text that stand at two places or more."""
-    table = chunk_table(docs)
+def repeated_chunks(texts: DataFrame) -> DataFrame:
+    """(key, spans): start and end in bytes of the chunks of a text that stand at two places or more."""
+    table = chunk_table(texts)
     # Partial aggregation leaves one row for each digest and task before the exchange.
     known = table.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    spans = skew_join(table, known, "digest").select("row", F.struct("at", (F.col("at") + F.col("length")).alias("to")).alias("span"))
-    return spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
-
-
-def once(rows: DataFrame) -> DataFrame:
-    """Rows of documents without repetitions: only ids and texts that stand there more than once are exchanged."""
-    again = saved(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated-rows")
-    n = again.count()
-    if not n:
-        return rows
-    if n <= BROADCAST_IDS:
-        again = F.broadcast(again)
-    return rows.join(again, "row", "left_anti").unionByName(rows.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    spans = skew_join(table, known, "digest").select("key", F.struct("at", (F.col("at") + F.col("length")).alias("to")).alias("span"))
+    return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
 
 
 def word_windows(text: np.ndarray, begin: np.ndarray, finish: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,28 +141,28 @@ def word_windows(text: np.ndarray, begin: np.ndarray, finish: np.ndarray, size:
 
 
 def window_table(texts: DataFrame, size: int) -> DataFrame:
-    """One row per window that may be repeated: doc_id, row, at (its first word), h, again (seen before in this text)."""
+    """One row per window that may be repeated: key, at (its first word), h, again (seen before in this text)."""
 
     def run(batches):
         for b in batches:
             spans = b.column("spans")
-            for k, (doc, row, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True)):
+            for k, (key, text) in enumerate(zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True)):
                 own = spans[k].values
                 at, h = word_windows(np.frombuffer(text.encode(), np.uint8), own.field("at").to_numpy(), own.field("to").to_numpy(), size)
                 if len(at):
                     again = np.ones(len(at), bool)
                     again[np.unique(h, return_index=True)[1]] = False
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), x), pa.int64()) for x in (doc, row)), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(again)], names=["doc_id", "row", "at", "h", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key), pa.int64()), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(again)], names=["key", "at", "h", "again"])
 
-    return texts.select("doc_id", "row", "text", "spans").mapInArrow(run, WINDOW)
+    return texts.select("key", "text", "spans").mapInArrow(run, WINDOW)
 
 
 def copied_windows(texts: DataFrame, size: int) -> DataFrame:
-    """(row, keep, places): first words of a row's windows whose first place (smallest id, then row) is in the row keep; within a row, of those seen earlier in it."""
+    """(key, keep, places): first words of a text's windows whose first place is in the text with the key keep; within a text, of those seen earlier in it."""
     table = window_table(texts, size)
-    owners = table.groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("first.row").alias("keep"))
-    copied = skew_join(table, owners, "h").where("keep <> row OR again")
-    return copied.groupBy("row", "keep").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    owners = table.groupBy("h").agg(F.min("key").alias("keep"), F.count("*").alias("n")).where("n > 1").select("h", "keep")
+    copied = skew_join(table, owners, "h").where("keep < key OR again")
+    return copied.groupBy("key", "keep").agg(F.sort_array(F.collect_set("at")).alias("places"))
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
@@ -214,16 +218,15 @@ def passages(text: str, source: str, places: list[int], same: bool, min_words: i
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per copied passage: doc_id, start, end (code points, end exclusive), n_words, keep_id (the document that keeps the passage).
 
-    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at all its places there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows equal in id and text count as one. Rows with one id and several texts are texts of their own: what the second holds of the first is copied (keep_id is that id), and spans are those of the row's own text. Other columns are not looked at. Empty input: empty output.
+    A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at all its places there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows equal in id and text count as one. Rows with one id and several texts are texts of their own, that with the smallest hash before the others and these after all ids: what they hold of the first is copied (keep_id is that id), and spans are those of the row's own text. Other columns are not looked at. Empty input: empty output.
     """
-    spans = saved(repeated_chunks(docs), "repeated-chunks")
-    found = spans.select("row")
-    if found.count() <= BROADCAST_IDS:
-        found = F.broadcast(found)
-    texts = once(saved(identified(docs).join(found, "row"), "passage-texts"))
-    runs = saved(copied_windows(texts.join(spans, "row"), min_words), "copied-windows")
-    sources = texts.select(F.col("row").alias("keep"), F.col("doc_id").alias("keep_id"), F.col("text").alias("source"))
-    pairs = runs.join(texts, "row").join(sources, "keep")
+    every = identified(docs)
+    # Texts are written once beside their chunks, and read from there without an exchange.
+    held = saved(every.join(repeated_chunks(every), "key"), "passage-texts")
+    runs = saved(copied_windows(held, min_words), "copied-windows")
+    texts = held.select("key", "doc_id", "text")
+    sources = held.select(F.col("key").alias("keep"), F.col("doc_id").alias("keep_id"), F.col("text").alias("source"))
+    pairs = runs.join(texts, "key").join(sources, "keep")
 
     def run(batches):
         for b in batches:
@@ -233,7 +236,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "end", "n_words", "keep_id"])
 
-    return pairs.select("doc_id", "keep_id", (F.col("row") == F.col("keep")).alias("same"), "places", "text", "source").mapInArrow(run, "doc_id long, start long, end long, n_words long, keep_id long")
+    return pairs.select("doc_id", "keep_id", (F.col("key") == F.col("keep")).alias("same"), "places", "text", "source").mapInArrow(run, "doc_id long, start long, end long, n_words long, keep_id long")
 
 
 def cut_out(docs: DataFrame, found: DataFrame) -> DataFrame:
