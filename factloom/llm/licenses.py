@@ -19,7 +19,9 @@ from .license_texts import TEMPLATES
 #: Phrases that are licenses by themselves (fixed values).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Share of a template's IDF weight that makes a match; words at one shift that make an alignment; words of a file that are looked up.
-SHARE, VOTES, RAREST = 0.6, 2, 32
+SHARE, VOTES, RAREST = 0.6, 2, 128
+#: Words in more than one of COMMON templates are not indexed, but for the LEAST rarest of each template. SPAN: beyond the words of a text.
+COMMON, LEAST, SPAN = 8, 4, 1 << 32
 
 #: Digits, small letters and every byte of a character beyond ASCII.
 WORD = np.zeros(256, bool)
@@ -33,7 +35,7 @@ def hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """Postings of template words with their IDF over templates, and the places of key phrases."""
+    """Postings of the rare template words with their IDF over templates, and the places of key phrases."""
 
     def __init__(self, templates=TEMPLATES):
         self.labels = [t[0] for t in templates]
@@ -42,41 +44,51 @@ class Index:
         size = [len(w) for w in self.words]
         every, of = np.concatenate(self.words), np.repeat(np.arange(len(size)), size)
         at = np.concatenate([np.arange(n) for n in size])
-        self.known, term = np.unique(every, return_inverse=True)
-        files = np.bincount(np.unique(np.stack([term, of]), axis=1)[0], minlength=len(self.known))
-        self.idf = np.log(1 + len(size) / files)
-        order = np.argsort(term, kind="stable")
+        known, term = np.unique(every, return_inverse=True)
+        files = np.bincount(np.unique(term * len(size) + of) // len(size), minlength=len(known))
+        idf = np.log(1 + len(size) / files)
+        self.weight = [idf[np.searchsorted(known, w)] for w in self.words]
+        # Words of few templates are indexed, and of every template its LEAST rarest ones at least.
+        rare = files <= max(1, len(size) // COMMON)
+        for words in self.words:
+            own = np.unique(np.searchsorted(known, words))
+            rare[own[np.argsort(-idf[own], kind="stable")[:LEAST]]] = True
+        self.known, self.idf = known[rare], idf[rare]
+        number = np.cumsum(rare) - 1
+        order = np.flatnonzero(rare[term])
+        order = order[np.argsort(term[order], kind="stable")]
         self.post_template, self.post_at = of[order], at[order]
-        self.post_count = np.bincount(term, minlength=len(self.known))
+        self.post_count = np.bincount(number[term[order]], minlength=len(self.known))
         self.post_first = np.cumsum(self.post_count) - self.post_count
-        self.weight = [self.idf[np.searchsorted(self.known, w)] for w in self.words]
 
     def terms(self, words: np.ndarray) -> np.ndarray:
-        """The index of each word among the license words, -1 for others."""
+        """The number of each word among the indexed ones, -1 for others."""
         at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
         return np.where(self.known[at] == words, at, -1)
 
-    def alignments(self, places: np.ndarray, term: np.ndarray) -> list[tuple[int, int]]:
-        """(template, shift) on which VOTES different words agree, from the places of a file's license words."""
-        held = np.unique(term)
-        rarest = held[np.argsort(-self.idf[held], kind="stable")[:RAREST]]
-        looked = np.isin(term, rarest)
-        places, term = places[looked], term[looked]
+    def alignments(self, doc: np.ndarray, places: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, template, shift) on which VOTES different words agree, from the indexed words of several texts: their text, place in it and number. In each text the RAREST with the highest IDF are looked up."""
+        n_terms, n_templates = len(self.known), len(self.words)
+        pair = doc * n_terms + term
+        held = np.unique(pair)
+        order = np.lexsort((held % n_terms, -self.idf[held % n_terms], held // n_terms))
+        own = held[order] // n_terms
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
+        looked = np.isin(pair, held[order[rank < RAREST]])
+        doc, places, term = doc[looked], places[looked], term[looked]
         n = self.post_count[term]
         posting = np.repeat(self.post_first[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        shift = np.repeat(places, n) - self.post_at[posting]
-        votes = np.unique(np.stack([self.post_template[posting], shift, np.repeat(term, n)]), axis=1)
-        agreed, count = np.unique(votes[:2], axis=1, return_counts=True)
-        return list(map(tuple, agreed[:, count >= VOTES].T.tolist()))
+        place = (np.repeat(doc, n) * n_templates + self.post_template[posting]) * SPAN + np.repeat(places, n) - self.post_at[posting] + SPAN // 2
+        agreed, votes = np.unique(np.unique(place * n_terms + np.repeat(term, n)) // n_terms, return_counts=True)
+        agreed = agreed[votes >= VOTES]
+        where = agreed // SPAN
+        return where // n_templates, where % n_templates, agreed % SPAN - SPAN // 2
 
-    def match(self, words: np.ndarray, places: np.ndarray, term: np.ndarray) -> dict[str, float]:
-        """Label -> best share of a template's weight, for one text's word hashes and its license words.
+    def match(self, words: np.ndarray, shifts: dict[int, list[int]]) -> dict[str, float]:
+        """Label -> best share of a template's weight, for one text's word hashes and the shifts of each template in it.
 
         Words that a file inserts or leaves out move the shift: alignments up to the template's length from its best one count together.
         """
-        shifts: dict[int, list[int]] = defaultdict(list)
-        for template, shift in self.alignments(places, term):
-            shifts[template].append(shift)
         found: dict[str, float] = {}
         for k, own in shifts.items():
             size, weight = len(self.words[k]), self.weight[k]
@@ -137,11 +149,12 @@ def scan_slice(texts: pa.Array, index: Index, phrases: list[tuple[np.ndarray, st
             places[int(of[h])].append((h - int(at[of[h]]), label))
     term = index.terms(words)
     held = np.flatnonzero(term >= 0)
-    bounds = np.searchsorted(held, at)
+    shifts: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for d, template, shift in zip(*(x.tolist() for x in index.alignments(of[held], held - at[of[held]], term[held])), strict=True):
+        shifts[d][template].append(shift)
     out = []
     for d in range(n):
-        mine = held[bounds[d] : bounds[d + 1]]
-        found = index.match(words[at[d] : at[d + 1]], mine - at[d], term[mine]) if len(mine) >= VOTES else {}
+        found = index.match(words[at[d] : at[d + 1]], shifts[d]) if d in shifts else {}
         starts = [p for p, _ in places.get(d, ())]
         base = sorted({label for _, label in places.get(d, ())})
         score = 1.0 if base else max(found.values(), default=0.0)

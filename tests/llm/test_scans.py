@@ -186,24 +186,25 @@ def test_license_texts_in_files(spark):
     assert [got[k]["labels"] for k in (500, 501, 502)] == [""] * 3
 
 
-def test_alignments_against_brute_force():
-    """(template, shift) of the postings equal those of loops over all pairs of places."""
+def test_alignments_against_brute_force(monkeypatch):
+    """(text, template, shift) of the postings equal those of loops over all pairs of places, for several texts at once."""
+    monkeypatch.setattr(licenses, "RAREST", 7)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(12)]
-    templates = [("a", (t[:3],), t) for t in (" ".join(rng.choices(vocabulary, k=9)) for _ in range(6))]
-    index = licenses.Index([(label, (text.split()[0],), text) for label, _, text in templates])
-    for _ in range(30):
-        words = licenses.hashes(" ".join(rng.choices([*vocabulary, "other", "more"], k=25)))
-        term = index.terms(words)
-        places = [k for k in range(len(words)) if term[k] >= 0]
-        rarest = sorted({int(term[k]) for k in places}, key=lambda t: (-index.idf[t], t))[: licenses.RAREST]
-        votes = {}
-        for k in places:
-            for t, own in enumerate(index.words):
-                for p, w in enumerate(own):
-                    if w == words[k] and term[k] in rarest:
-                        votes.setdefault((t, k - p), set()).add(int(w))
-        assert sorted(index.alignments(np.array(places, int), term[places])) == sorted(x for x, v in votes.items() if len(v) >= licenses.VOTES)
+    index = licenses.Index([("a", (t.split()[0],), t) for t in (" ".join(rng.choices(vocabulary, k=9)) for _ in range(6))])
+    texts = [licenses.hashes(" ".join(rng.choices([*vocabulary, "other", "more"], k=25))) for _ in range(30)] + [licenses.hashes("")]
+    votes, doc, places, terms = {}, [], [], []
+    for d, words in enumerate(texts):
+        term = index.terms(words).tolist()
+        rarest = sorted({t for t in term if t >= 0}, key=lambda t: (-index.idf[t], t))[:7]
+        for k, t in enumerate(term):
+            if t >= 0:
+                doc, places, terms = [*doc, d], [*places, k], [*terms, t]
+                for n, own in enumerate(index.words if t in rarest else ()):
+                    for p in np.flatnonzero(own == words[k]).tolist():
+                        votes.setdefault((d, n, k - p), set()).add(t)
+    got = list(zip(*(x.tolist() for x in index.alignments(*(np.array(x, np.int64) for x in (doc, places, terms)))), strict=True))
+    assert sorted(got) == sorted(x for x, v in votes.items() if len(v) >= licenses.VOTES) and got
 
 
 VALUES = ["4111111111111111", "5500-0000-0000-0004", "+1 (017) 555-7713", "und.34@mail7.example.com", "235.58.234.215", "2024-02-29", "12/31/1999", "31.12.1999", "123-45-6789", "DE89370400440532013000"]
