@@ -56,33 +56,43 @@ def within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word without outer punctuation: canonical hash, own hash, is it a slot, its text."""
-    data, off = text_buffer(texts)
+def bare_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words without outer punctuation: start, end, hash in lower case (A-Z), text, and start and end with the punctuation."""
     start, end = word_spans(data, off, ~SPACE)
     places = np.flatnonzero(ALNUM[data])
     a, b = np.searchsorted(places, start), np.searchsorted(places, end) - 1
     real = a <= b
-    raw_end, start_all = end[real], start[real]
+    raw_start, raw_end = start[real], end[real]
     start, end = places[a[real]], places[b[real]] + 1
-    low = LOWER[data]
-    own = span_hashes(low, start, end)
-    of = np.searchsorted(off, start, "right") - 1
+    return start, end, span_hashes(LOWER[data], start, end), np.searchsorted(off, start, "right") - 1, raw_start, raw_end
+
+
+def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word without outer punctuation: canonical hash, own hash, is it a slot, its text."""
+    data, off = text_buffer(texts)
+    start, _, own, of, raw_start, raw_end = bare_words(data, off)
     n = len(own)
     number = DIGIT[data[start]]
     before = np.zeros(n, bool)
     before[1:] = number[:-1] & (of[1:] == of[:-1])
-    unit = before & ~number & within(own, UNIT_HASHES)
+    unit = before & ~number
+    unit[unit] = within(own[unit], UNIT_HASHES)
     lines = np.cumsum(data == 10)
     opens = np.ones(n, bool)
     if n:
-        opens[1:] = (of[1:] != of[:-1]) | STOP[data[raw_end[:-1] - 1]] | (lines[start_all[1:]] != lines[raw_end[:-1] - 1])
+        opens[1:] = (of[1:] != of[:-1]) | STOP[data[raw_end[:-1] - 1]] | (lines[raw_start[1:]] != lines[raw_end[:-1] - 1])
     second = data[np.minimum(start + 1, max(len(data) - 1, 0))] if n else start
     upper = UPPER[data[start]] | (data[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E) if n else np.zeros(0, bool)
-    inner = upper & ~opens & ~number & ~unit
+    capital = upper & ~number & ~unit
+    name = capital & ~opens
     # A word that opens a sentence is a name if it stands capitalised within one and never in small letters.
-    key = own ^ mix(of.astype(U) + U(1))
-    name = inner | upper & ~number & ~unit & within(key, np.unique(key[inner])) & ~within(key, np.unique(key[~upper]))
+    key = own ^ mix(np.arange(1, len(off) + 1, dtype=U))[of]
+    first = np.flatnonzero(capital & opens)
+    inner = np.unique(key[first[within(key[first], np.unique(key[name]))]])
+    if len(inner):
+        small = key[~upper]
+        inner = np.setdiff1d(inner, small[within(small, inner)])
+        name[first[within(key[first], inner)]] = True
     words = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, own)))
     return words, own, number | unit | name, of
 
@@ -105,7 +115,7 @@ def template_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def plain_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of lower-cased words without placeholders: hash, text, first word's place in its text."""
-    _, own, _, of = canonical(pc.utf8_lower(texts))
+    _, _, own, of, _, _ = bare_words(*text_buffer(pc.utf8_lower(texts)))
     n = len(texts)
     h, doc, first = windows(mix(own ^ PLAIN), of, n, WORDS)
     count = np.bincount(of, minlength=n)
