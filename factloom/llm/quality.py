@@ -133,20 +133,22 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Trees:
-    """Trees from at most max_labels labelled rows that are not held out, chosen by hash of doc_id. Repeated labels of an id are averaged; null labels and ids are left out."""
+    """Trees from at most max_labels labelled rows that are not held out, those with the smallest hashes of doc_id (and of text, where rows repeat an id). Repeated labels of an id are averaged; null labels and ids are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna().where(~held_out())
     n = known.count()
     part = int(min(1.0, 0.95 * max_labels / max(n, 1)) * 1_000_000)
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part) if part < 1_000_000 else known
-    sample = sample.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")).limit(max_labels)
+    chosen = F.xxhash64("doc_id")
+    sample = sample.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")).orderBy(chosen, "doc_id").limit(max_labels)
 
     def measure(batches):
         for b in batches:
             for s in slices(b.column("text")):
                 x = statistics(b.column("text").slice(*s))
-                yield pa.RecordBatch.from_arrays([b.column("quality").slice(*s), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(*s) for c in ("quality", "chosen", "own")), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "chosen", "own", "x"])
 
-    rows = documents(docs).join(F.broadcast(sample), "doc_id").select("text", "quality").mapInArrow(measure, "quality int, x array<double>").limit(max_labels).toArrow()
+    texts = documents(docs).join(F.broadcast(sample), "doc_id").select("text", "quality", chosen.alias("chosen"), F.xxhash64("text").alias("own"))
+    rows = texts.mapInArrow(measure, "quality int, chosen long, own long, x array<double>").orderBy("chosen", "own").limit(max_labels).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, FEATURES)
     return fit(x, rows.column("quality").to_numpy().astype(float))
 
