@@ -96,3 +96,50 @@ def test_virtual_calls(spark):
     cells = spark.createDataFrame([(0x5000 + 16 + 0x78, 0x100), (0x6000 + 16 + 0x78, 0x200)], "at long, target long")
     found = binary.families(sites, tables, cells, spark.createDataFrame([(0x100, name), (0x200, other)], "target long, name string")).collect()
     assert {(r["candidate"], r["candidate_symbol"]) for r in found} == {(0x100, name), (0x200, other)} and {r["resolver"] for r in found} == {"vcall-pac-v1"}
+
+
+def test_instructions_without_a_destination(spark):
+    """None of them clears its first register; anything else that writes does."""
+    code = lambda m, o: [("ldr", "x8, [x16, #0x78]"), ("movk", "x17, #0x6779, lsl #48"), (m, o), ("blraa", "x8, x17")]
+    start = spark.createDataFrame([(k, 0x1000) for k in range(60)], "image_id long, address long")
+    kinds = [*((m, "x8, x9") for m in binary.NO_DESTINATION if not m.startswith(("bl", "br", "ret"))), ("b.eq", "#0x10"), ("mov", "x8, x9"), ("eor", "x8, x9, x10"), ("ldp", "x1, x8, [x2]")]
+    rows = [(k, 0x1000 + 4 * n, *c) for k, (m, o) in enumerate(kinds) for n, c in enumerate(code(m, o))]
+    got = {r["image_id"] for r in binary.virtual_sites(spark.createDataFrame(rows, "image_id long, va long, mnemonic string, operands string"), start).collect()}
+    assert got == set(range(len(kinds) - 3))
+
+
+def test_sites_look_back_a_window_at_most(spark):
+    """Code more than 256 bytes before a site, or before its function, is not seen; across a bucket's border it is."""
+    def site(start, gap):
+        code = [("ldr", "x8, [x16, #0x10]"), ("movk", "x17, #0x5, lsl #48"), *[("nop", "")] * gap, ("blraa", "x8, x17")]
+        return [(0x1F00 + start + 4 * k, m, o) for k, (m, o) in enumerate(code)]
+
+    rows = [(k, *r) for k, (start, gap) in enumerate([(0, 62), (0, 63), (0xC0, 40), (0xF8, 1)]) for r in site(start, gap)]
+    functions = spark.createDataFrame([(k, 0x1F00) for k in range(4)] + [(2, 0x1FC4)], "image_id long, address long")
+    got = binary.virtual_sites(spark.createDataFrame(rows, "image_id long, va long, mnemonic string, operands string"), functions).collect()
+    assert {r["image_id"] for r in got} == {0, 3}
+
+
+def test_hops_across_buckets(spark):
+    at = binary.BUCKET - 4
+    code = [(0, at, "adrp", "x16, #0x5000"), (0, at + 4, "add", "x16, x16, #0x20"), (0, at + 8, "ldr", "x16, [x16, #0x8]"), (0, at + 12, "b", "#0x40")]
+    rows = binary.hops(spark.createDataFrame(code, "image_id long, va long, mnemonic string, operands string")).orderBy("island").collect()
+    assert [(r["island"], r["next"], r["pointer"]) for r in rows] == [(at, None, 0x5028), (at + 12, 0x40, None)]
+
+
+def test_tables_end_at_the_next(spark):
+    """A slot past a table's end or its cap is no member, whichever bucket the next table begins in."""
+    name, d = "__ZN1A1fEv", discriminator_of("_ZN1A1fEv")
+    tables = [("a", 0x1FE0), ("b", 0x2010), ("c", 0x5000)]
+    sites = spark.createDataFrame([(0, slot, slot, d) for slot in (0x10, 0x18, 0x20, 0xFE8, 0xFF0)], "image_id long, site long, slot_offset long, discriminator long")
+    cells = spark.createDataFrame([(at + 16 + slot, k * 10000 + slot) for k, (_, at) in enumerate(tables) for slot in (0x10, 0x18, 0x20, 0xFE8, 0xFF0)], "at long, target long")
+    names = cells.selectExpr("target", f"'{name}' AS name")
+    got = {(r["slot_offset"], r["candidate"]) for r in binary.families(sites, spark.createDataFrame(tables, "ztv string, address long"), cells, names).collect()}
+    assert got == {(slot, k * 10000 + slot) for k, end in enumerate((0x30, 0x1000, 0x1000)) for slot in (0x10, 0x18, 0x20, 0xFE8, 0xFF0) if 16 + slot < end}
+
+
+def test_values_of_literals(spark):
+    bits = struct.unpack("<q", struct.pack("<d", 2.5))[0]
+    reads = spark.createDataFrame([(0, 1, 0x40, "ldr", "d0"), (0, 2, 0x40, "ldr", "x0"), (0, 3, 0x44, "ldur", "d1"), (0, 4, 0x99, "ldr", "d1"), (0, 5, 0x40, "add", "d0")], "image_id long, site long, target long, kind string, dest string")
+    got = binary.literal_values(reads, spark.createDataFrame([(0x40, bits), (0x44, 0)], "at long, raw long")).orderBy("site").collect()
+    assert [r["value"] for r in got] == [2.5, None, 0.0, None, None]
