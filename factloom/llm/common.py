@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.session import importable as importable
+from factloom.session import saved as saved
 
 #: Bytes of text that one step of a vectorised map works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -21,30 +21,6 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session a fresh one under /tmp."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/factloom-checkpoints")
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read back: lineage ends there and lost executors cost nothing.
-
-    The folder is deleted with the session's other checkpoints by the owner of the shared folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its len+1 offsets, without copying."""
     if isinstance(col, pa.ChunkedArray):
