@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.binary import pointer_target
 from factloom.functions.text import basename, hex_address, parse_hex
-from factloom.operators import documents, fts, grep, lookup, stores
+from factloom.operators import binary, documents, fts, grep, lookup, stores
 from factloom.operators.asof import asof_floor, range_join
 from factloom.plans.verdict import counted, judged
-from factloom.sources.projection import BASE, DATA, IMAGE, ISLANDS, STEP, Projection, with_tables
+from factloom.sources.projection import BASE, CODE, DATA, IMAGE, ISLANDS, STEP, Projection, with_tables
 
 #: A well-called address, and one in the middle of things.
 CALLED, PLACE = 6442506496, BASE + 42 * STEP
@@ -249,6 +250,63 @@ def hex_and_names(p: Projection) -> DataFrame:
     return p.table("supplier").select("s_suppkey", hex_address(a).alias("address"), parse_hex(hex_address(a)).alias("parsed"), parse_hex(F.concat(hex_address(a), F.lit("g"))).alias("refused"), basename(F.concat(F.lit("/a/b/"), "s_name")).alias("base"))
 
 
+# -- facts from instructions -----------------------------------------------------------------------------------------------------------------------
+
+
+#: The text section of an image ends after 400 documents' code; islands whose number is even are known.
+TEXT_CODE = 400
+
+
+@query(
+    with_tables("instr", "code_function")
+    + f"""SELECT s.image_id, s.site, coalesce(f.address, 0) AS caller, CASE WHEN direct OR raw // {CODE} % 2 = 1 THEN raw ELSE raw + 1 END AS target, CASE WHEN direct THEN NULL ELSE raw END AS island,
+    CASE WHEN direct THEN 'Direct' WHEN raw // {CODE} % 2 = 1 THEN 'Unresolved' ELSE 'Island' END AS via
+    FROM (SELECT *, raw >= lo AND raw < lo + {TEXT_CODE * CODE} AS direct FROM (SELECT image_id, va AS site, ('0x' || substr(operands, 4))::BIGINT AS raw, {BASE} + image_id * {IMAGE * CODE} AS lo FROM instr WHERE mnemonic = 'bl')) s
+    ASOF LEFT JOIN code_function f ON s.image_id = f.image_id AND s.site >= f.address"""
+)
+def call_extraction(p: Projection) -> DataFrame:
+    text = p.code_function.select("image_id").distinct().select("image_id", (BASE + F.col("image_id") * IMAGE * CODE).alias("address"), F.lit(TEXT_CODE * CODE).cast("long").alias("size"))
+    raw = binary.immediate(F.col("operands"))
+    known = p.instr.where("mnemonic = 'bl'").select(raw.alias("island")).distinct().where(F.floor(F.col("island") / CODE) % 2 == 0).withColumn("target", F.col("island") + 1)
+    return binary.calls(p.instr, p.code_function, text, known)
+
+
+BARRIER_SQL = ", ".join(f"'{b}'" for b in binary.BARRIERS)
+
+
+@query(
+    with_tables("instr", more=f"""code AS (SELECT *, string_split(operands, ', ') AS p, sum(CASE WHEN mnemonic IN ({BARRIER_SQL}) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY va) AS segment FROM instr),
+    events AS (SELECT image_id, va, segment, 1 AS turn, p[1] AS reg, CASE WHEN mnemonic = 'adrp' THEN ('0x' || substr(p[2], 4))::BIGINT ELSE -1 END AS page, NULL AS kind, NULL::BIGINT AS distance FROM code WHERE operands <> ''
+        UNION ALL SELECT image_id, va, segment, 0, CASE WHEN mnemonic = 'add' THEN p[2] ELSE substr(p[2], 2) END, NULL, mnemonic, ('0x' || substr(replace(p[3], ']', ''), 4))::BIGINT FROM code WHERE mnemonic IN ('add', 'ldr')),
+    known AS (SELECT *, last_value(page IGNORE NULLS) OVER (PARTITION BY image_id, segment, reg ORDER BY va, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events)""")
+    + "SELECT image_id, va AS site, last + distance AS target, kind FROM known WHERE turn = 0 AND last >= 0"
+)
+def literal_tracker(p: Projection) -> DataFrame:
+    return binary.literal_reads(p.instr).select("image_id", "site", "target", "kind")
+
+
+@query(
+    with_tables("instr", "code_function")
+    + """SELECT image_id, va AS site, 'blraa x12, x17' AS instruction, doc_id % 16 * 8 AS slot_offset, coalesce(CASE WHEN doc_id % 5 > 0 THEN 1 + doc_id % 999 END, 0) AS discriminator
+    FROM instr WHERE mnemonic = 'blraa' AND doc_id % 5 > 0"""
+)
+def virtual_sites(p: Projection) -> DataFrame:
+    """Slot and constant are in the six instructions of each document; a copy in place of the constant leaves the slot unknown."""
+    return binary.virtual_sites(p.instr, p.code_function)
+
+
+@query(with_tables("instr") + "SELECT mnemonic, count(*) AS n, count(DISTINCT image_id) AS images FROM instr GROUP BY mnemonic")
+def mnemonic_counts(p: Projection) -> DataFrame:
+    return p.instr.groupBy("mnemonic").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("images"))
+
+
+@query("SELECT doc_id, 270532608 + doc_id * 8 AS target FROM documents WHERE doc_id % 5 > 0")
+def pointer_decode(p: Projection) -> DataFrame:
+    """Version-5 chained pointers made from documents: the upper bits say where the next one is and are no part of the target; raw zero points nowhere."""
+    raw = F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") * 8 + 2097152 + F.shiftleft(F.col("doc_id") % 11, 52)).otherwise(0)
+    return p.table("documents").select("doc_id", pointer_target(raw, 268435456).alias("target")).where("target IS NOT NULL")
+
+
 # -- pseudocode --------------------------------------------------------------------------------------------------------------------------------
 
 

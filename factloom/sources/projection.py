@@ -17,6 +17,8 @@ from factloom.session import importable
 BASE, DATA, LINKEDIT, ISLANDS = 0x180000000, 0x270000000, 0x290000000, 0x180000000 + 0x80000000
 #: Orders of an image, bytes of an order.
 IMAGE, STEP = 1000, 256
+#: Bytes of a document's code.
+CODE = 24
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
@@ -96,6 +98,29 @@ class Projection:
         at = F.col("p_partkey") * 7 % self.n
         return self.table("part").select((at / IMAGE).cast("long").alias("image_id"), (BASE + at * STEP).alias("address"), F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("demangled"), (F.col("p_size") % 2).alias("external"))
 
+    @cached_property
+    def instr(self) -> DataFrame:
+        """Six instructions for each document: a page, an addition or a call, two loads, a constant, and an ending."""
+        i, at = F.col("doc_id"), BASE + F.col("doc_id") * CODE
+        reg = F.concat(F.lit("x"), (8 + i % 3).cast("string"))
+        hexed = lambda c: F.concat(F.lit("#0x"), F.lower(F.hex(c)))
+        target = BASE + i * 53 % 4000 * CODE
+        rows = (
+            (F.lit("adrp"), F.concat(reg, F.lit(", "), hexed(DATA + i % 50 * 4096))),
+            (F.when(i % 4 == 0, "bl").otherwise("add"), F.when(i % 4 == 0, hexed(target)).otherwise(F.concat(F.lit("x11, "), reg, F.lit(", "), hexed(i % 64 * 8)))),
+            (F.when(i % 6 == 0, "str").otherwise("ldr"), F.concat(F.when(i % 2 == 0, "d0").otherwise(reg), F.lit(", ["), reg, F.lit(", "), hexed(i % 9 * 8), F.lit("]"))),
+            (F.lit("ldr"), F.concat(F.lit("x12, [x16, "), hexed(i % 16 * 8), F.lit("]"))),
+            (F.when(i % 5 == 0, "mov").otherwise("movk"), F.when(i % 5 == 0, "x12, x19").otherwise(F.concat(F.lit("x17, "), hexed(1 + i % 999), F.lit(", lsl #48")))),
+            (F.when(i % 7 == 0, "ret").when(i % 7 < 4, "blraa").otherwise("cmp"), F.when(i % 7 == 0, "").when(i % 7 < 4, "x12, x17").otherwise("x12, x13")),
+        )
+        listed = F.array(*[F.struct((at + 4 * k).alias("va"), m.alias("mnemonic"), o.alias("operands")) for k, (m, o) in enumerate(rows)])
+        return self.table("documents").select((i / IMAGE).cast("long").alias("image_id"), F.explode(listed).alias("c")).select("image_id", "c.*")
+
+    @cached_property
+    def code_function(self) -> DataFrame:
+        """A function for every third document's code."""
+        return self.table("documents").where("doc_id % 3 = 0").select((F.col("doc_id") / IMAGE).cast("long").alias("image_id"), (BASE + F.col("doc_id") * CODE).alias("address"))
+
     @cached_property
     def virtual_call(self) -> DataFrame:
         p = self.table("part")
@@ -156,6 +181,14 @@ TABLES: dict[str, str] = {
         (['add', 'ldr', 'ldur'])[l_linenumber % 3 + 1] AS kind, l_discount, l_extendedprice FROM line WHERE l_linestatus = 'O')""",
     "symbol": f"""SELECT (p_partkey * 7 % (SELECT n FROM n)) // {IMAGE} AS image_id, {BASE} + p_partkey * 7 % (SELECT n FROM n) * {STEP} AS address, p_name || '_' || p_partkey AS name,
         CASE WHEN p_size > 25 THEN p_type END AS demangled, p_size % 2 AS external FROM part""",
+    "instr": f"""SELECT doc_id // {IMAGE} AS image_id, {BASE} + doc_id * {CODE} + 4 * k AS va,
+        CASE k WHEN 0 THEN 'adrp' WHEN 1 THEN CASE WHEN doc_id % 4 = 0 THEN 'bl' ELSE 'add' END WHEN 2 THEN CASE WHEN doc_id % 6 = 0 THEN 'str' ELSE 'ldr' END WHEN 3 THEN 'ldr' WHEN 4 THEN CASE WHEN doc_id % 5 = 0 THEN 'mov' ELSE 'movk' END
+            ELSE CASE WHEN doc_id % 7 = 0 THEN 'ret' WHEN doc_id % 7 < 4 THEN 'blraa' ELSE 'cmp' END END AS mnemonic,
+        CASE k WHEN 0 THEN reg || ', #0x' || printf('%x', {DATA} + doc_id % 50 * 4096) WHEN 1 THEN CASE WHEN doc_id % 4 = 0 THEN '#0x' || printf('%x', {BASE} + doc_id * 53 % 4000 * {CODE}) ELSE 'x11, ' || reg || ', #0x' || printf('%x', doc_id % 64 * 8) END
+            WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'd0' ELSE reg END || ', [' || reg || ', #0x' || printf('%x', doc_id % 9 * 8) || ']' WHEN 3 THEN 'x12, [x16, #0x' || printf('%x', doc_id % 16 * 8) || ']'
+            WHEN 4 THEN CASE WHEN doc_id % 5 = 0 THEN 'x12, x19' ELSE 'x17, #0x' || printf('%x', 1 + doc_id % 999) || ', lsl #48' END ELSE CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 < 4 THEN 'x12, x17' ELSE 'x12, x13' END END AS operands, doc_id, k
+        FROM (SELECT doc_id, 'x' || (8 + doc_id % 3) AS reg, unnest(range(6)) AS k FROM documents)""",
+    "code_function": f"SELECT doc_id // {IMAGE} AS image_id, {BASE} + doc_id * {CODE} AS address FROM documents WHERE doc_id % 3 = 0",
     "virtual_call": f"""SELECT {BASE} + a.p_partkey * 7 % (SELECT n FROM n) * {STEP} + 4 AS site, (8 * (a.p_size % 16))::BIGINT AS slot_offset, 1 + a.p_partkey % 65535 AS discriminator,
         {BASE} + b.p_partkey * 7 % (SELECT n FROM n) * {STEP} AS candidate, b.p_name || '_' || b.p_partkey AS candidate_symbol, 'vcall-pac-v1' AS resolver FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey % 50 = 0""",
     "decompilation": f"""SELECT doc_id // {IMAGE} AS image_id, {BASE} + doc_id * {STEP} AS function, CASE WHEN n_chars >= 50 THEN text || chr(10) || 'return MEMORY[0x' || printf('%X', {ISLANDS} + doc_id * 16) || ']' END AS pseudocode,
