@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What the decompiler says of functions over its size limit (fixed value).
 TOO_BIG = "function too big"
 
 
 def pseudocode_coverage(decompilation: DataFrame) -> DataFrame:
-    """One row: functions decompiled, attempted, lines, refused for size, without text; one pass."""
+    """One row: functions decompiled, attempted, lines, refused for size (where reasons are kept), without text; one pass."""
     zero = F.lit(0).cast("long")
     count = F.size(F.split("pseudocode", "\n", -1)).cast("long")
+    refused = F.count_if(F.lower("reason").contains(TOO_BIG)) if "reason" in decompilation.columns else zero
     return decompilation.agg(
         F.count_if(F.col("status") == "Ok").alias("ok"), F.count("*").alias("attempted"), F.coalesce(F.sum(F.when(F.col("pseudocode").isNotNull(), count)), zero).alias("lines"),
-        F.count_if(F.col("pseudocode").isNull() | (F.col("plain") == 0)).alias("without"),
+        refused.alias("too_big"), F.count_if(F.col("pseudocode").isNull() | (F.col("plain") == 0)).alias("without"),
     )
 
 

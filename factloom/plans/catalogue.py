@@ -348,7 +348,7 @@ def grep_limit_accounting(p: Projection) -> DataFrame:
     return found.select(F.least("n", F.lit(20).cast("long")).alias("shown"), (F.col("n") > 20).alias("stopped"))
 
 
-@query(with_tables("decompilation") + "SELECT count(*) FILTER (status = 'Ok') AS ok, count(*) AS attempted, coalesce(sum(len(string_split(pseudocode, chr(10)))), 0)::BIGINT AS lines, count(*) FILTER (pseudocode IS NULL OR plain = 0) AS without FROM decompilation")
+@query(with_tables("decompilation") + "SELECT count(*) FILTER (status = 'Ok') AS ok, count(*) AS attempted, coalesce(sum(len(string_split(pseudocode, chr(10)))), 0)::BIGINT AS lines, count(*) FILTER (lower(reason) LIKE '%function too big%') AS too_big, count(*) FILTER (pseudocode IS NULL OR plain = 0) AS without FROM decompilation")
 def decompile_coverage(p: Projection) -> DataFrame:
     return stores.pseudocode_coverage(p.decompilation)
 

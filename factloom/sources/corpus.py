@@ -18,7 +18,8 @@ SKIPPED = r"/(build|lab|\.git)/"
 def walk(spark: SparkSession, root: str, collection: Collection) -> DataFrame:
     """(file, size, mtime, text): markdown of the folder itself for evidence and concepts (but README.md and index.md), sources of all folders below for code."""
     base = f"{root.rstrip('/')}/{collection.path}"
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", collection.kind == "code")
+    # A file that is listed but cannot be read is missing from the texts, and so from what was read.
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", collection.kind == "code").option("ignoreMissingFiles", True)
     if collection.kind == "code":
         rows = reader.load(base)
         keep = F.lit(False)
@@ -38,7 +39,10 @@ def build(spark: SparkSession, root: str, config: Config) -> dict[str, DataFrame
     for c in config.collections:
         files = walk(spark, root, c)
         parts["file"].append(files.select(F.col("file").alias("path"), "size", "mtime"))
-        parts["coverage"].append(files.agg(F.lit(c.path).alias("root"), F.count("*").alias("read"), F.count("*").alias("total")))
+        # Total: files that the folder lists; read: those whose content came.
+        listed = files.agg(F.count("file").alias("total"))
+        read = files.where(F.length("text") >= 0).agg(F.count("text").alias("read"))
+        parts["coverage"].append(listed.join(read, F.lit(True)).select(F.lit(c.path).alias("root"), "read", "total"))
         if c.kind == "code":
             lines = files.select("file", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).select("file", (F.col("line") + 1).cast("long").alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
             if config.tags:

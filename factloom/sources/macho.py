@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,25 +98,73 @@ PARSERS = {
     "symbol": (symbols, "name string, type int, value long"),
     "function_starts": (lambda d: [(next((a for n, a, _, _ in segments(d) if n == "__TEXT"), 0), starts(d))], "base long, bytes binary"),
     "mapping": (mappings, "address long, size long, file_offset long"),
-    "word": (lambda d: [(a + k, *take(d, "I", o + k)) for n, a, s, o in segments(d) if n == "__TEXT" for k in range(0, min(s, len(d) - o) // 4 * 4, 4)], "va long, word long"),
 }
+#: Rows that one frame of numbers holds.
+FRAME = 1 << 20
 
 
-def read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One table of every file under a path: file, and the parser's columns. A file is one task's work; a malformed one fails the read and is named."""
-    parse, schema = PARSERS[table]
-    names = [c.split()[0] for c in schema.split(", ")]
+def numbers(data: bytes, kind: str, only_text: bool):
+    """Frames (address, number) of the little-endian numbers in the text segment, or in all."""
+    size = np.dtype(kind).itemsize
+    for name, address, length, offset in segments(data):
+        if name == "__TEXT" or not only_text and name != "__LINKEDIT":
+            count = max(0, min(length, len(data) - offset)) // size
+            for k in range(0, count, FRAME):
+                part = np.frombuffer(data, kind, min(FRAME, count - k), offset + k * size)
+                yield address + (k + np.arange(len(part))) * size, part.astype(np.int64)
+
+
+NUMBERS = {"word": ("<u4", True, "va long, word long"), "cell": ("<i8", False, "at long, raw long")}
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
+def frames_of(table: str, data: bytes):
+    """Frames of one table of a file."""
+    if table in NUMBERS:
+        kind, only_text, schema = NUMBERS[table]
+        names = [c.split()[0] for c in schema.split(", ")]
+        for x, y in numbers(data, kind, only_text):
+            yield pd.DataFrame(dict(zip(names, (x, y), strict=True)))
+    else:
+        parse, schema = PARSERS[table]
+        yield pd.DataFrame(parse(data), columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def read(spark: SparkSession, path: str, table: str, strict: bool = True) -> DataFrame:
+    """One table of every file under a path: file, and the parser's columns. A file is one task's work; numbers come a million at a time. A malformed file fails the read and is named, or (not strict) has no rows: failures() lists it."""
+    schema = NUMBERS[table][2] if table in NUMBERS else PARSERS[table][1]
+
+    def run(frames):
+        for f in frames:
+            for file, content in zip(f["path"], f["content"], strict=True):
+                try:
+                    for out in frames_of(table, bytes(content)):
+                        out.insert(0, "file", file)
+                        yield out
+                except Malformed as e:
+                    if strict:
+                        raise Malformed(f"{file}: {e}") from None
+
+    return files(spark, path).mapInPandas(run, f"file string, {schema}")
+
+
+def failures(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of every file: why it is malformed, or null."""
 
     def run(frames):
         for f in frames:
+            rows = []
             for file, content in zip(f["path"], f["content"], strict=True):
+                reason = None
                 try:
-                    rows = parse(bytes(content))
+                    for parse in (segments, sections, symbols, starts):
+                        parse(bytes(content))
                 except Malformed as e:
-                    raise Malformed(f"{file}: {e}") from None
-                out = pd.DataFrame(rows, columns=names)
-                out.insert(0, "file", file)
-                yield out
+                    reason = str(e)
+                rows.append((file, reason))
+            yield pd.DataFrame(rows, columns=["file", "reason"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(run, f"file string, {schema}")
+    return files(spark, path).mapInPandas(run, "file string, reason string")

@@ -136,6 +136,7 @@ class Projection:
         return d.select(
             (F.col("doc_id") / IMAGE).cast("long").alias("image_id"), (BASE + F.col("doc_id") * STEP).alias("function"),
             F.when(~failed, F.concat("text", F.lit("\nreturn "), mark)).alias("pseudocode"), F.when(failed, 0).otherwise(F.col("n_chars")).cast("long").alias("plain"), F.when(failed, "Failed").otherwise("Ok").alias("status"),
+            F.when(failed, F.when(F.col("doc_id") % 2 == 0, "Function too big (2 MB)").otherwise("no reason")).alias("reason"),
         )
 
     @cached_property
@@ -192,7 +193,7 @@ TABLES: dict[str, str] = {
     "virtual_call": f"""SELECT {BASE} + a.p_partkey * 7 % (SELECT n FROM n) * {STEP} + 4 AS site, (8 * (a.p_size % 16))::BIGINT AS slot_offset, 1 + a.p_partkey % 65535 AS discriminator,
         {BASE} + b.p_partkey * 7 % (SELECT n FROM n) * {STEP} AS candidate, b.p_name || '_' || b.p_partkey AS candidate_symbol, 'vcall-pac-v1' AS resolver FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey % 50 = 0""",
     "decompilation": f"""SELECT doc_id // {IMAGE} AS image_id, {BASE} + doc_id * {STEP} AS function, CASE WHEN n_chars >= 50 THEN text || chr(10) || 'return MEMORY[0x' || printf('%X', {ISLANDS} + doc_id * 16) || ']' END AS pseudocode,
-        CASE WHEN n_chars < 50 THEN 0 ELSE n_chars END AS plain, CASE WHEN n_chars < 50 THEN 'Failed' ELSE 'Ok' END AS status FROM documents""",
+        CASE WHEN n_chars < 50 THEN 0 ELSE n_chars END AS plain, CASE WHEN n_chars < 50 THEN 'Failed' ELSE 'Ok' END AS status, CASE WHEN n_chars < 50 THEN CASE WHEN doc_id % 2 = 0 THEN 'Function too big (2 MB)' ELSE 'no reason' END END AS reason FROM documents""",
     "section": "SELECT conv_id * 1000 + turn AS id, 'docs/re/conv-' || conv_id || '.md' AS file, turn::VARCHAR AS number, role AS title, turn * 10 + 1 AS first_line, turn * 10 + 10 AS last_line, text FROM conversations",
     "cited_text": f"""SELECT doc_id AS section, 'see 0x' || printf('%x', {BASE} + doc_id * 37 % (SELECT n FROM n) * {STEP}) || ' and `_$sFoo' || (doc_id % 97) || '` or `A.b' || (doc_id % 13) || '` in `main.cpp` at 0x12, again 0x' || printf('%x', {BASE} + doc_id * 37 % (SELECT n FROM n) * {STEP}) AS text FROM documents""",
     "seal_text": f"""SELECT 'src/' || source || '.h' AS file, doc_id + 1 AS line, '// [BIN Kit' || (doc_id % 7) || '] ' || CASE WHEN doc_id % 3 = 0 THEN 'no place' ELSE 'at 0x' || printf('%x', {BASE} + doc_id * 37 % (SELECT n FROM n) * {STEP}) END || ' [KIT] seen' AS text FROM documents""",
