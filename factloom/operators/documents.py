@@ -15,7 +15,7 @@ from factloom.functions.text import ascii_lower
 ADDRESS = r"0x(1[89a-f][0-9a-f]{7}|2[0-9a-f]{8})\b"
 SYMBOL = r"^(_\$s[A-Za-z0-9_]+|_?\$?[A-Za-z][A-Za-z0-9_]*(\.[A-Za-z][A-Za-z0-9_]*)+)$"
 #: Endings of file names, which are no symbols (fixed values).
-ENDINGS = ".h .hpp .cpp .md .py .json .cmake .ps1 .txt .framework .dylib .frag .app .plist .ttf .ttc .car .bundle .metallib".split()
+ENDINGS = (".h", ".hpp", ".cpp", ".md", ".py", ".json", ".cmake", ".ps1", ".txt", ".framework", ".dylib", ".frag", ".app", ".plist", ".ttf", ".ttc", ".car", ".bundle", ".metallib")
 FILE_NAME = r".(" + "|".join(re.escape(e) for e in ENDINGS) + r")$"
 GENERATED = "<!-- generated"
 
@@ -185,6 +185,12 @@ def seals(blocks: DataFrame, tags: list[str], image_tag: str = "") -> DataFrame:
     return blocks.where(F.col("text").contains("[")).select("file", F.explode(parse("text", "first_line")).alias("s")).select("file", "s.*")
 
 
+def coverage(roots: DataFrame) -> DataFrame:
+    """One row: files read and files there, of all collections."""
+    zero = F.lit(0).cast("long")
+    return roots.agg(F.coalesce(F.sum("read"), zero).alias("read"), F.coalesce(F.sum("total"), zero).alias("total"))
+
+
 def cited_by(citation: DataFrame, section: DataFrame, address: int) -> DataFrame:
     return citation.where(F.col("address") == address).join(section, citation["section"] == section["id"]).select("file", "number", "title", "first_line", "last_line")
 

@@ -41,10 +41,40 @@ def grep(decompilation: DataFrame, pattern: str, crossing: DataFrame | None = No
 
 def limited(hits: DataFrame, images: DataFrame, limit: int = 200) -> DataFrame:
     """The first hits in catalogue order, one more than the limit: its presence tells that the search stopped. 0: all."""
-    ordered = hits.join(F.broadcast(images.select("image_id", "path")), "image_id").orderBy("path", "function", "line")
+    ordered = hits.join(images.select("image_id", "path"), "image_id").orderBy("path", "function", "line")
     return ordered.limit(limit + 1) if limit else ordered
 
 
+#: What became of an image in a search.
+SEARCHED, NOT_SEARCHED, NOT_REACHED = "searched", "not searched", "not reached"
+
+
+def searched(images: DataFrame, decompilation: DataFrame, call: DataFrame, partial: DataFrame | None = None, stop: str | None = None) -> DataFrame:
+    """(path, fate, partial, functions, refused, indexed) of each image chosen.
+
+    Images come in order of path; stop: the path of the hit beyond the limit, after which none is reached. An image without pseudocode is not searched; one whose store is partial is searched and named; functions without text are refused; an image without calls has no islands to resolve.
+    """
+    texts = decompilation.groupBy("image_id").agg(F.count("*").alias("functions"), F.count_if(F.col("pseudocode").isNull() | (F.col("plain") == 0)).alias("refused"))
+    rows = images.select("image_id", "path").join(texts, "image_id", "left").join(call.select("image_id").distinct().withColumn("indexed", F.lit(True)), "image_id", "left")
+    rows = rows.withColumn("part", F.lit(False)) if partial is None else rows.join(partial.select("image_id").distinct().withColumn("part", F.lit(True)), "image_id", "left")
+    late = F.lit(False) if stop is None else F.col("path") > stop
+    fate = F.when(late, NOT_REACHED).when(F.col("functions").isNull(), NOT_SEARCHED).otherwise(SEARCHED)
+    own = F.col("fate") == SEARCHED
+    zero = F.lit(0).cast("long")
+    return rows.withColumn("fate", fate).select(
+        "path", "fate", (own & F.coalesce("part", F.lit(False))).alias("partial"), F.when(own, F.col("functions")).otherwise(zero).alias("functions"), F.when(own, F.col("refused")).otherwise(zero).alias("refused"), F.coalesce("indexed", F.lit(False)).alias("indexed")
+    )
+
+
+def accounting(seen: DataFrame) -> DataFrame:
+    """One row: images selected, searched, not searched, not reached, partial, unindexed; functions searched and refused."""
+    zero = F.lit(0).cast("long")
+    return seen.agg(
+        F.count("*").alias("selected"), *[F.count_if(F.col("fate") == k).alias(k.replace(" ", "_")) for k in (SEARCHED, NOT_SEARCHED, NOT_REACHED)], F.count_if("partial").alias("partial"),
+        F.count_if((F.col("fate") == SEARCHED) & ~F.col("indexed")).alias("unindexed"), F.coalesce(F.sum("functions"), zero).alias("functions"), F.coalesce(F.sum("refused"), zero).alias("refused"),
+    )
+
+
 def selected_images(image: DataFrame, names: list[str] | None) -> tuple[DataFrame, list[str]]:
     """Images by basename, and the names that no image has."""
     if not names:

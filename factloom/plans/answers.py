@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +32,47 @@ class Facts:
     file: DataFrame | None = None
     disk: DataFrame | None = None
     stale_config: bool = False
+    #: (root, read, total) of the documents' collections.
+    document_coverage: DataFrame | None = None
+    #: Images whose pseudocode store is not complete, as (image_id).
+    partial: DataFrame | None = None
+    instruction: DataFrame | None = None
+    #: (key, value) of the stores.
+    meta: dict[str, str] = field(default_factory=dict)
+    bytes: int | None = None
 
     @classmethod
     def projected(cls, projection) -> Facts:
         p = projection
-        return cls(p.image, p.coverage, p.segment, p.function, p.call, p.literal, p.symbol, p.virtual_call, p.decompilation, p.section, documents.citations(p.cited_text))
+        return cls(
+            p.image, p.coverage, p.segment, p.function, p.call, p.literal, p.symbol, p.virtual_call, p.decompilation, p.section, documents.citations(p.cited_text),
+            document_coverage=p.document_coverage, partial=p.partial, instruction=p.instr,
+        )
+
+    @classmethod
+    def stored(cls, spark, store: str, documents_store: str | None = None, code: str | None = None, config_sha256: str | None = None, disk: DataFrame | None = None) -> Facts:
+        """Over stores that builds made. Documents of another configuration are stale; without a documents or pseudocode store, that layer is not built."""
+        from factloom.plans import builds
+        from factloom.sources.stores import Store, disk_bytes
+
+        catalogue = Store(spark, store, "Catalog")
+        image = catalogue.table("image").withColumns({"tower": F.lit(None).cast("string"), "name": F.concat(F.substring_index("path", "/", -1), F.lit(".db"))})
+        rows, complete = builds.pseudocode(spark, code) if code else (spark.createDataFrame([], builds.DECOMPILED), True)
+        out = cls(
+            image, *(catalogue.table(t) for t in ("coverage", "segment", "function", "call", "literal", "symbol", "virtual_call")), rows,
+            partial=None if complete else rows.select("image_id").distinct(), instruction=catalogue.table("instruction"), meta=catalogue.meta, bytes=disk_bytes(spark, catalogue.path),
+        )
+        if documents_store:
+            try:
+                docs = Store(spark, documents_store, "Documents")
+            except Refusal as e:
+                if e.code != "NotFound":
+                    raise
+                return out
+            out.section, out.citation, out.file, out.document_coverage = (docs.table(t) for t in ("section", "citation", "file", "coverage"))
+            out.seal = docs.table("seal") if docs.has("seal") else None
+            out.disk, out.stale_config = disk, config_sha256 is not None and docs.meta.get("ConfigSha256") != config_sha256
+        return out
 
 
 def shown(rows: DataFrame, order: list[str], line, full: bool) -> tuple[int, list[str]]:
@@ -51,6 +87,12 @@ def whole(f: Facts) -> tuple[int, int]:
     return r["read"], r["total"]
 
 
+def of_documents(f: Facts) -> tuple[int, int]:
+    """Coverage of all collections of the documents."""
+    r = documents.coverage(f.document_coverage).first()
+    return r["read"], r["total"]
+
+
 def of_count(count: int, read: int, total: int) -> Verdict:
     return Verdict(FOUND if count else EMPTY, count, read=read, total=total)
 
@@ -136,41 +178,81 @@ def containing(f: Facts, address: int):
     return at.join(lookup.done(f.image).select("image_id", "path"), "image_id").orderBy("path", F.desc("address")).first()
 
 
-def fn(f: Facts, address: int) -> Answer:
-    """Pseudocode of the function that holds an address, cells of islands named."""
+def fn(f: Facts, address: int, asm: bool = False, full: bool = False) -> Answer:
+    """Pseudocode of the function that holds an address, cells of islands named and counted; asm: its instructions."""
     row = containing(f, address)
     if row is None:
         return Answer(of_count(0, *whole(f)))
+    start, name = row["address"], row["path"].rsplit("/", 1)[-1]
+    head = f"{address:#x} is in {start:#x} (+{address - start:#x}), {row['size']} bytes, in {name}"
+    if asm:
+        return disassembly(f, row, head)
     own = f.decompilation.where(F.col("image_id") == row["image_id"])
     done = stores.pseudocode_coverage(own).first()
-    text = own.where((F.col("function") == row["address"]) & F.col("pseudocode").isNotNull()).first()
+    text = own.where((F.col("function") == start) & F.col("pseudocode").isNotNull()).first()
     if text is None:
-        return Answer(Verdict(EMPTY, read=done["ok"], total=done["attempted"]))
-    islands = lookup.resolve_islands(f.call.where((F.col("caller") == row["address"]) & F.col("island").isNotNull()), f.segment, f.symbol)
-    body, named = text["pseudocode"], 0
-    for r in islands.where("symbol IS NOT NULL").toLocalIterator():  # the islands of one function
+        return Answer(Verdict(EMPTY, read=done["ok"], total=done["attempted"]), output=[head, "no pseudocode of this function"])
+    islands = lookup.resolve_islands(f.call.where((F.col("caller") == start) & F.col("island").isNotNull()), f.segment, f.symbol)
+    body, named, bare, listed = text["pseudocode"], 0, 0, []
+    for r in islands.orderBy("island").toLocalIterator():  # the islands of one function
         mark = f"MEMORY[0x{r['island']:X}]"
-        named += mark in body
-        body = body.replace(mark, r["symbol"])
+        if r["symbol"] is None:
+            bare += mark in body
+        else:
+            named += mark in body
+            body = body.replace(mark, r["symbol"])
+        listed.append(f"  island {r['island']:#x} -> {r['target']:#x}  {r['symbol'] or '-'}  {r['path'].rsplit('/', 1)[-1]}")
     lines = body.split("\n")
-    left = body.count("MEMORY[0x")
-    return Answer(Verdict(FOUND, len(lines), read=done["ok"], total=done["attempted"]), output=[f"function {row['address']:#x} in {row['path']}", *lines, f"islands named: {named}, cells left: {left}"])
+    trailer = [f"islands: {named} named, {bare} without a symbol, {len(listed)} in all", f"cells left: {body.count('MEMORY[0x')}"] + (listed if full else [])
+    return Answer(Verdict(FOUND, len(lines), read=done["ok"], total=done["attempted"]), output=[head, *lines, *trailer])
+
+
+def disassembly(f: Facts, row, head: str) -> Answer:
+    """The instructions of one function; coverage is decoded words of all its words."""
+    if f.instruction is None:
+        return Answer(Verdict(NOT_VERIFIED, why="the store holds no instructions"), output=[head])
+    code = f.instruction.where((F.col("image_id") == row["image_id"]) & (F.col("va") >= row["address"]) & (F.col("va") < row["address"] + row["size"]))
+    rows = code.where("mnemonic IS NOT NULL").orderBy("va")
+    lines = [f"  {r['va']:#x}  {r['mnemonic']} {r['operands']}".rstrip() for r in rows.toLocalIterator()]  # one function's
+    total = row["size"] // 4
+    return Answer(of_count(len(lines), len(lines), total), rows, [head, *lines, f"layer 1: {len(lines)}/{total} instruction words decoded"])
 
 
 def search(f: Facts, pattern: str, images: list[str] | None = None, ignore_case: bool = False, limit: int = 200) -> Answer:
+    """Lines with a pattern over all images chosen, and what of them was not looked at. limit 0: all hits, which stream from the rows and are not gathered."""
     if not pattern:
         return Answer(Verdict(NOT_VERIFIED, why="the pattern is empty"))
     chosen, unknown = lookup_images(f, images)
     if unknown:
-        return Answer(Verdict(NOT_VERIFIED, why=f"unknown images: {', '.join(unknown)}"))
-    own = f.decompilation.join(F.broadcast(chosen.select("image_id")), "image_id", "left_semi")
-    hits = grep.limited(grep.grep(own, pattern, lookup.island_symbols(f.call, f.segment, f.symbol), ignore_case), chosen, limit)
-    rows = hits.collect() if limit else list(hits.toLocalIterator())
-    stopped, rows = bool(limit) and len(rows) > limit, rows[:limit] if limit else rows
-    searched = own.select("image_id").distinct().count()
-    lines = [f"  {r['function']:#x}:{r['line']}  {r['text']}" for r in rows]
-    lines += [f"stopped at {limit} hits"] * stopped + [f"through islands: {sum(r['via_island'] for r in rows)}"]
-    return Answer(of_count(len(rows), searched, chosen.count()), hits, lines)
+        known = [r[0] for r in f.image.select(F.substring_index("path", "/", -1).alias("n")).distinct().orderBy("n").limit(CAP).collect()]
+        return Answer(Verdict(NOT_VERIFIED, why=f"unknown images: {', '.join(unknown)}; known are {', '.join(known)} and others"))
+    own = f.decompilation.join(chosen.select("image_id"), "image_id", "left_semi")
+    crossing = lookup.island_symbols(f.call, f.segment, f.symbol)
+    hits = grep.limited(grep.grep(own, pattern, crossing, ignore_case), chosen, limit)
+    top = hits.collect() if limit else []  # limit + 1 rows at most
+    stop = top[limit]["path"] if limit and len(top) > limit else None
+    found = len(top[:limit]) if limit else hits.count()
+    through = sum(r["via_island"] for r in top[:limit]) if limit else hits.where("via_island").count()
+    seen = grep.searched(chosen, own, f.call, f.partial, stop)
+    count = grep.accounting(seen).first()
+
+    def named(kind: str) -> str:
+        return " ".join(r["path"].rsplit("/", 1)[-1] for r in seen.where(F.col("fate") == kind).orderBy("path").collect())  # images of one catalogue
+
+    lines = [hit_line(r) for r in top[:limit]]
+    lines += [f"stopped at {limit} hit(s); the rest is not searched"] if stop is not None else []
+    lines += [f"not searched: {named(grep.NOT_SEARCHED)} -- no pseudocode there"] if count["not_searched"] else []
+    lines += [f"not reached: {named(grep.NOT_REACHED)} -- the limit stopped the search before these"] if count["not_reached"] else []
+    lines += [f"partial: {r['path'].rsplit('/', 1)[-1]} ({r['functions']} function(s) so far)" for r in seen.where("partial").orderBy("path").collect()]
+    lines += [f"{count['refused']} function(s) in the searched images carry no pseudocode"] if count["refused"] else []
+    lines += [f"searched {count['functions']} function(s) in {count['searched']} image(s); {through} hit(s) through islands"]
+    lines += [f"{count['unindexed']} image(s) had no calls to resolve islands with"] if count["unindexed"] else []
+    stream = None if limit else (hit_line(r) for r in hits.toLocalIterator())
+    return Answer(of_count(found, count["searched"], count["selected"]), hits, lines, stream)
+
+
+def hit_line(r) -> str:
+    return f"  {r['path'].rsplit('/', 1)[-1]} {r['function']:#x}:{r['line']}: {r['text']}"
 
 
 def lookup_images(f: Facts, images: list[str] | None) -> tuple[DataFrame, list[str]]:
@@ -235,9 +317,11 @@ def find(f: Facts, text: str) -> Answer:
     except fts.QueryError as e:
         return Answer(Verdict(NOT_VERIFIED, why=f"not a query: {e}"))
     rows = hits.join(f.section.select("id", "file", "number", "title"), "id")
-    stale = {r["path"] for r in changed_files(f).collect()} if f.disk is not None else set()
-    count, lines = shown(rows, ["rank", "id"], lambda r: f"  {r['file']} {r['number'] or '—'} {r['title']}{' [stale]' if r['file'] in stale or f.stale_config else ''}\n    {r['snippet']}", False)
-    return Answer(of_count(count, 1, 1), rows, lines)
+    counted, top = lookup.capped(rows, ["rank", "id"], CAP)
+    shown_rows = top.collect()  # CAP rows
+    stale = set() if f.disk is None else {r["path"] for r in changed_files(f).where(F.col("path").isin([r["file"] for r in shown_rows])).collect()}
+    lines = [f"  {r['file']} {r['number'] or '—'} {r['title']}{' [stale]' if r['file'] in stale or f.stale_config else ''}\n    {r['snippet']}" for r in shown_rows]
+    return Answer(of_count(counted.first()[0], *of_documents(f)), rows, lines)
 
 
 def changed_files(f: Facts) -> DataFrame:
@@ -246,22 +330,25 @@ def changed_files(f: Facts) -> DataFrame:
 
 def laudo(f: Facts, slug: str, part: str | None = None) -> Answer:
     """The outline of a document, or one of its sections."""
+    if f.section is None:
+        return Answer(Verdict(NOT_VERIFIED, why="documents are not built"))
     files = [r["file"] for r in documents.files_of_slug(f.section, slug).collect()]
     if len(files) > 1:
         return Answer(Verdict(NOT_VERIFIED, why=f"{slug} is ambiguous: {', '.join(files)}"))
+    read, total = of_documents(f)
     if not files:
-        return Answer(Verdict(EMPTY, read=1, total=1))
+        return Answer(Verdict(EMPTY, read=read, total=total))
     stale = f.stale_config or f.disk is not None and not changed_files(f).where(F.col("path") == files[0]).isEmpty()
     if part is None:
         rows = documents.outline(f.section, slug).orderBy("first_line")
         lines = [f"  {r['number'] or '—'}  {r['title']}  ({r['n_lines']} lines)" for r in rows.toLocalIterator()]
-        return Answer(Verdict(FOUND, len(lines), read=1, total=1), rows, ["stale: the file has changed"] * stale + lines)
+        return Answer(Verdict(FOUND, len(lines), read=read, total=total), rows, ["stale: the file has changed"] * stale + lines)
     if stale:
         return Answer(Verdict(NOT_VERIFIED, why=f"{files[0]} has changed since it was read"))
     wanted = part.removeprefix("Â§").removeprefix("§")
     rows = documents.section_by_number(f.section, files[0], wanted) if wanted and all(c in "0123456789." for c in wanted) else documents.section_by_title(f.section, files[0], wanted)
     row = rows.first()
-    return Answer(of_count(int(row is not None), 1, 1), rows, [row["text"]] if row else [])
+    return Answer(of_count(int(row is not None), read, total), rows, [row["text"]] if row else [])
 
 
 def status(f: Facts) -> Answer:
@@ -269,7 +356,8 @@ def status(f: Facts) -> Answer:
     done = lookup.done(f.image).count()
     lines = [f"  {r['path']}  {r['facts_state']}  {r['read']}/{r['total']}" for r in lookup.image_coverage(f.image, f.coverage).orderBy("path").toLocalIterator()]
     code = stores.pseudocode_coverage(f.decompilation).first()
-    lines.append(f"pseudocode: {code['ok']} of {code['attempted']} functions, {code['lines']} lines")
+    lines = [f"  {k}: {v}" for k, v in sorted(f.meta.items())] + lines + ([f"store: {f.bytes} bytes"] if f.bytes is not None else [])
+    lines.append(f"pseudocode: {code['ok']} of {code['attempted']} functions, {code['lines']} lines, {code['too_big']} refused for size")
     for name in ("section", "citation", "seal"):
         table = getattr(f, name)
         lines.append(f"{name}: " + ("not built" if table is None else str(table.count())))

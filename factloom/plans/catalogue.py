@@ -64,7 +64,7 @@ def completed_facts(p: Projection) -> DataFrame:
     (SELECT coalesce(sum(read), 0)::BIGINT AS read, coalesce(sum(total), 0)::BIGINT AS total FROM image LEFT JOIN coverage USING (path) WHERE facts_state = 'FactsDone')"""
 )
 def callers_verdict(p: Projection) -> DataFrame:
-    return counted(lookup.callers(p.call, p.image, CALLED), lookup.header(p.image, p.coverage))
+    return counted(lookup.callers(p.calls(CALLED), p.image, CALLED), lookup.header(p.image, p.coverage))
 
 
 @query(
@@ -82,8 +82,7 @@ def verdicts(p: Projection) -> DataFrame:
 
 @query("SELECT source AS root, count(l.doc_id) AS read, count(*) AS total FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")
 def document_coverage(p: Projection) -> DataFrame:
-    known = p.table("labels").select("doc_id").distinct().withColumn("known", F.lit(1))
-    return p.table("documents").select("doc_id", "source").join(known, "doc_id", "left").groupBy(F.col("source").alias("root")).agg(F.count("known").alias("read"), F.count("*").alias("total"))
+    return p.document_coverage
 
 
 @query(with_tables("section", "cited_text", "seal_text") + "SELECT (SELECT count(*) FROM section) AS sections, (SELECT count(*) FROM cited_text) AS cited, (SELECT count(*) FROM seal_text) AS sealed")
@@ -97,7 +96,7 @@ def layer_counts(p: Projection) -> DataFrame:
 
 @query(with_tables("call", "image") + f"SELECT path, site, caller, via, island FROM call JOIN image USING (image_id) WHERE target = {CALLED} AND facts_state = 'FactsDone'")
 def callers_of(p: Projection) -> DataFrame:
-    return lookup.callers(p.call, p.image, CALLED)
+    return lookup.callers(p.calls(CALLED), p.image, CALLED)
 
 
 @query(with_tables("call") + f"SELECT site, target, via FROM call WHERE caller = {PLACE}")
@@ -209,7 +208,7 @@ def calls_leaving_image(p: Projection) -> DataFrame:
     + f"SELECT (SELECT count(*) FROM call JOIN image USING (image_id) WHERE target = {CALLED} AND facts_state = 'FactsDone') AS count, path, site FROM call JOIN image USING (image_id) WHERE target = {CALLED} AND facts_state = 'FactsDone' ORDER BY path, site LIMIT 10"
 )
 def callers_count_vs_top10(p: Projection) -> DataFrame:
-    count, shown = lookup.capped(lookup.callers(p.call, p.image, CALLED), ["path", "site"])
+    count, shown = lookup.capped(lookup.callers(p.calls(CALLED), p.image, CALLED), ["path", "site"])
     return shown.select("path", "site").join(F.broadcast(count), F.lit(True))
 
 
@@ -514,7 +513,10 @@ def section_nesting(p: Projection) -> DataFrame:
     return documents.section_spans(h).select("file", "level", "first_line", "last_line")
 
 
-@query()
+@query(
+    """SELECT 'd/' || doc_id AS file, doc_id::VARCHAR AS number, 'One' AS title, 1 AS level, 1 AS first_line, 8 AS last_line FROM documents
+    UNION ALL SELECT 'd/' || doc_id, doc_id || '.1', 'Two', 2, 7, 8 FROM documents"""
+)
 def heading_parse(p: Projection) -> DataFrame:
     """Markdown made from documents: a numbered heading, a fenced look-alike, a nested heading."""
     i = F.col("doc_id").cast("string")
@@ -546,7 +548,10 @@ def find_bm25(p: Projection) -> DataFrame:
     return fts.find(p.table("documents"), "thing", key="doc_id").select(F.col("doc_id").alias("id"), F.round("rank", 6).alias("rank"))
 
 
-@query()
+@query(
+    f"""SELECT id, CASE WHEN start > 1 THEN ' ... ' ELSE '' END || substr(text, start, place - start) || '>>>' || substr(text, place, 9) || '<<<' || substr(text, place + 9, 17 - (place - start)) || CASE WHEN start + 25 < length(text) THEN ' ... ' ELSE '' END AS snippet
+    FROM (SELECT *, greatest(place - 8, 1) AS start FROM (SELECT doc_id AS id, text, strpos(lower(text), 'the thing') AS place FROM documents) WHERE place > 0)"""
+)
 def find_snippet(p: Projection) -> DataFrame:
     return fts.find(p.table("documents"), '"the thing"', key="doc_id").select(F.col("doc_id").alias("id"), "snippet")
 
@@ -559,6 +564,60 @@ def trigram_candidates(p: Projection) -> DataFrame:
     return docs.join(both, "id").where(F.lower("text").contains("ntti") & F.lower("text").contains("ttis")).select("id")
 
 
+# -- verdicts of searches ------------------------------------------------------------------------------------------------------------------------
+
+
+JUDGED = "CASE WHEN count > 0 THEN 'FOUND' WHEN read = total THEN 'EMPTY' ELSE 'PARTIAL' END AS verdict, count, read, total"
+DOCUMENTS = "(SELECT coalesce(sum(read), 0)::BIGINT AS read, coalesce(sum(total), 0)::BIGINT AS total FROM document_coverage)"
+ABSENT = "qqqqzzzz"
+
+
+def each(parts: list[tuple[str, DataFrame]], name: str) -> DataFrame:
+    out = None
+    for key, df in parts:
+        row = df.withColumn(name, F.lit(key))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(with_tables("document_coverage", more=f"hits AS (SELECT 'thing' AS asked, count(*) AS count FROM ({FOLDED}) WHERE contains(t, 'thing') UNION ALL SELECT '{ABSENT}', count(*) FROM ({FOLDED}) WHERE contains(t, '{ABSENT}'))") + f"SELECT asked, {JUDGED} FROM hits, {DOCUMENTS}")
+def find_verdict(p: Projection) -> DataFrame:
+    """A text that stands in documents, and one that doesn't: with documents unread, the second answer is PARTIAL."""
+    return each([(t, counted(fts.find(p.table("documents"), t, key="doc_id"), documents.coverage(p.document_coverage))) for t in ("thing", ABSENT)], "asked")
+
+
+@query(with_tables("document_coverage", "section", more="hits AS (SELECT 'conv-3' AS asked, count(*) AS count FROM section WHERE file LIKE '%/conv-3.md' UNION ALL SELECT 'conv-none', count(*) FROM section WHERE file LIKE '%/conv-none.md')") + f"SELECT asked, {JUDGED} FROM hits, {DOCUMENTS}")
+def laudo_verdict(p: Projection) -> DataFrame:
+    return each([(slug, counted(documents.outline(p.section, slug), documents.coverage(p.document_coverage))) for slug in ("conv-3", "conv-none")], "asked")
+
+
+#: Patterns with their limits: all hits, one that stops early, none at all.
+SEARCHES = (("the thing", 0), ("on", 20), (ABSENT, 200))
+SEARCH_SQL = " UNION ALL ".join(
+    f"""SELECT '{pattern}' AS asked, CASE WHEN count > 0 THEN 'FOUND' WHEN searched = selected THEN 'EMPTY' ELSE 'PARTIAL' END AS verdict, count, * EXCLUDE (count) FROM
+    (SELECT CASE WHEN {limit} > 0 THEN least(count(*), {limit}) ELSE count(*) END AS count FROM hits WHERE contains(text, '{pattern}')),
+    (SELECT count(*) AS selected, count(*) FILTER (fate = 's') AS searched, count(*) FILTER (fate = 'n') AS not_searched, count(*) FILTER (fate = 'r') AS not_reached, count(*) FILTER (fate = 's' AND image_id % 4 = 0) AS partial,
+        count(*) FILTER (fate = 's' AND image_id NOT IN (SELECT image_id FROM call)) AS unindexed, coalesce(sum(functions) FILTER (fate = 's'), 0)::BIGINT AS functions, coalesce(sum(refused) FILTER (fate = 's'), 0)::BIGINT AS refused
+     FROM (SELECT *, CASE WHEN path > (SELECT path FROM (SELECT path, row_number() OVER (ORDER BY path, function, line) AS k FROM hits WHERE contains(text, '{pattern}')) WHERE {limit} > 0 AND k = {limit} + 1) THEN 'r' WHEN functions IS NULL THEN 'n' ELSE 's' END AS fate
+        FROM image LEFT JOIN (SELECT image_id, count(*) AS functions, count(*) FILTER (pseudocode IS NULL OR plain = 0) AS refused FROM decompilation GROUP BY image_id) USING (image_id)))"""
+    for pattern, limit in SEARCHES
+)
+
+
+@query(with_tables("decompilation", "image", "call", more=f"{LINES}, hits AS (SELECT * FROM lines JOIN image USING (image_id))") + SEARCH_SQL)
+def grep_verdict(p: Projection) -> DataFrame:
+    """What a search answers and how much of the images it looked at: those without pseudocode, those after the hit that stopped it, those in part."""
+    parts = []
+    for pattern, limit in SEARCHES:
+        hits = grep.limited(grep.grep(p.decompilation, pattern), p.image, limit)
+        last = hits.offset(limit).first() if limit else None  # the hit beyond the limit
+        seen = grep.accounting(grep.searched(p.image, p.decompilation.join(p.image.select("image_id"), "image_id", "left_semi"), p.call, p.partial, last["path"] if last else None))
+        n = hits.agg(F.count("*").alias("count"))
+        row = (n.select(F.least("count", F.lit(limit).cast("long")).alias("count")) if limit else n).join(F.broadcast(seen), F.lit(True))
+        parts.append((pattern, row.withColumn("verdict", judged(F.col("count"), F.col("searched"), F.col("selected")))))
+    return each(parts, "asked")
+
+
 # -- composite -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -582,7 +641,7 @@ def q_composite(p: Projection) -> DataFrame:
         function.select(F.lit("function"), text, "address"),
         p.symbol.where(F.col("address") == PLACE).groupBy().agg(F.min("name").alias("name")).where("name IS NOT NULL").select(F.lit("symbol"), "name", none),
         lookup.callees(p.call, PLACE).select(F.lit("callee"), "via", "target"),
-        lookup.callers(p.call, p.image, PLACE).select(F.lit("caller"), "via", "site"),
+        lookup.callers(p.calls(PLACE), p.image, PLACE).select(F.lit("caller"), "via", "site"),
         sealed(p).where(F.col("address") == PLACE).select(F.lit("sealed"), "file", "line"),
     ]
     for b in blocks:

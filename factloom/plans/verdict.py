@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,8 @@ class Answer:
     verdict: Verdict
     rows: DataFrame | None = None
     output: list[str] = field(default_factory=list)
+    #: Lines to print before the output, as they come.
+    stream: Iterator[str] | None = None
 
     def to_json(self) -> str:
         v = self.verdict

@@ -70,17 +70,28 @@ class Projection:
 
     @cached_property
     def line(self) -> DataFrame:
-        """Lines with their site: the place within the order decides."""
+        return self.lines()
+
+    def lines(self, only=None) -> DataFrame:
+        """Lines with their site: the place within the order decides. only: a condition on lines; other orders than those with such a line are left out before they are numbered."""
         l = self.table("lineitem")
+        if only is not None:
+            l = l.join(l.where(only).select("l_orderkey").distinct(), "l_orderkey", "left_semi")
         rank = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
         return l.withColumn("site", BASE + F.col("l_orderkey") * STEP + 4 * rank).withColumn("image_id", (F.col("l_orderkey") / IMAGE).cast("long"))
 
     @cached_property
     def call(self) -> DataFrame:
+        return self.calls()
+
+    def calls(self, target: int | None = None) -> DataFrame:
+        """Call rows; target: of that one alone, found in the lines before their callers are looked up."""
         offset = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % self.n * STEP
         same = (F.col("offset") / (IMAGE * STEP)).cast("long") == F.col("image_id")
         via = F.when(same, "Direct").when(F.col("l_returnflag") == "R", "Unresolved").otherwise("Island")
-        sites = self.line.where(F.col("l_linestatus") == "F").withColumn("offset", offset).select(
+        lines = self.line if target is None else self.lines((offset == target - BASE) & (F.col("l_linestatus") == "F"))
+        lines = lines.where(F.col("l_linestatus") == "F").withColumn("offset", offset)
+        sites = (lines if target is None else lines.where(F.col("offset") == target - BASE)).select(
             "image_id", "site", (BASE + F.col("offset")).alias("target"), via.alias("via"),
             F.when(via == "Island", ISLANDS + (F.col("offset") / 16).cast("long")).when(via == "Unresolved", BASE + F.col("offset")).alias("island"),
         )
@@ -139,6 +150,17 @@ class Projection:
             F.when(failed, F.when(F.col("doc_id") % 2 == 0, "Function too big (2 MB)").otherwise("no reason")).alias("reason"),
         )
 
+    @cached_property
+    def partial(self) -> DataFrame:
+        """Every fourth image's pseudocode store is not complete."""
+        return self.image.where("image_id % 4 = 0").select("image_id")
+
+    @cached_property
+    def document_coverage(self) -> DataFrame:
+        """(root, read, total): documents by source, of which those with a label were read."""
+        known = self.table("labels").select("doc_id").distinct().withColumn("known", F.lit(1))
+        return self.table("documents").select("doc_id", "source").join(known, "doc_id", "left").groupBy(F.col("source").alias("root")).agg(F.count("known").alias("read"), F.count("*").alias("total"))
+
     @cached_property
     def section(self) -> DataFrame:
         c = self.table("conversations")
@@ -194,12 +216,14 @@ TABLES: dict[str, str] = {
         {BASE} + b.p_partkey * 7 % (SELECT n FROM n) * {STEP} AS candidate, b.p_name || '_' || b.p_partkey AS candidate_symbol, 'vcall-pac-v1' AS resolver FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey % 50 = 0""",
     "decompilation": f"""SELECT doc_id // {IMAGE} AS image_id, {BASE} + doc_id * {STEP} AS function, CASE WHEN n_chars >= 50 THEN text || chr(10) || 'return MEMORY[0x' || printf('%X', {ISLANDS} + doc_id * 16) || ']' END AS pseudocode,
         CASE WHEN n_chars < 50 THEN 0 ELSE n_chars END AS plain, CASE WHEN n_chars < 50 THEN 'Failed' ELSE 'Ok' END AS status, CASE WHEN n_chars < 50 THEN CASE WHEN doc_id % 2 = 0 THEN 'Function too big (2 MB)' ELSE 'no reason' END END AS reason FROM documents""",
+    "partial": "SELECT image_id FROM image WHERE image_id % 4 = 0",
+    "document_coverage": "SELECT source AS root, count(l.doc_id) AS read, count(*) AS total FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source",
     "section": "SELECT conv_id * 1000 + turn AS id, 'docs/re/conv-' || conv_id || '.md' AS file, turn::VARCHAR AS number, role AS title, turn * 10 + 1 AS first_line, turn * 10 + 10 AS last_line, text FROM conversations",
     "cited_text": f"""SELECT doc_id AS section, 'see 0x' || printf('%x', {BASE} + doc_id * 37 % (SELECT n FROM n) * {STEP}) || ' and `_$sFoo' || (doc_id % 97) || '` or `A.b' || (doc_id % 13) || '` in `main.cpp` at 0x12, again 0x' || printf('%x', {BASE} + doc_id * 37 % (SELECT n FROM n) * {STEP}) AS text FROM documents""",
     "seal_text": f"""SELECT 'src/' || source || '.h' AS file, doc_id + 1 AS line, '// [BIN Kit' || (doc_id % 7) || '] ' || CASE WHEN doc_id % 3 = 0 THEN 'no place' ELSE 'at 0x' || printf('%x', {BASE} + doc_id * 37 % (SELECT n FROM n) * {STEP}) END || ' [KIT] seen' AS text FROM documents""",
 }
 USES = {
-    "image": ["n"], "coverage": ["image"], "segment": ["image"], "call": ["n", "line", "function"], "literal": ["line"], "symbol": ["n"], "virtual_call": ["n"],
+    "image": ["n"], "coverage": ["image"], "partial": ["image"], "segment": ["image"], "call": ["n", "line", "function"], "literal": ["line"], "symbol": ["n"], "virtual_call": ["n"],
     "cited_text": ["n"], "seal_text": ["n"],
 }
 

@@ -43,6 +43,13 @@ class Store:
             if self.meta.get(key) != want:
                 raise Refusal("Mismatch", "open store", path, f"{key} is {self.meta.get(key)!r}, not {want!r}", "build the store again")
 
+    def has(self, name: str) -> bool:
+        try:
+            self.spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException:
+            return False
+        return True
+
     def table(self, name: str) -> DataFrame:
         try:
             return self.spark.read.parquet(f"{self.path}/{name}")
