@@ -101,7 +101,7 @@ def callers_of(p: Projection) -> DataFrame:
 
 @query(with_tables("call") + f"SELECT site, target, via FROM call WHERE caller = {PLACE}")
 def callees_of(p: Projection) -> DataFrame:
-    return lookup.callees_of_start(p.call, p.function, PLACE)
+    return lookup.callees_of_start(p.calls(caller=PLACE), p.function, PLACE)
 
 
 @query(with_tables("literal") + f"SELECT image_id, site, target, kind FROM literal WHERE target >= {DATA + 800} AND target < {DATA + 1600}")
@@ -640,7 +640,7 @@ def q_composite(p: Projection) -> DataFrame:
     blocks = [
         function.select(F.lit("function"), text, "address"),
         p.symbol.where(F.col("address") == PLACE).groupBy().agg(F.min("name").alias("name")).where("name IS NOT NULL").select(F.lit("symbol"), "name", none),
-        lookup.callees(p.call, PLACE).select(F.lit("callee"), "via", "target"),
+        lookup.callees(p.calls(caller=PLACE), PLACE).select(F.lit("callee"), "via", "target"),
         lookup.callers(p.calls(PLACE), p.image, PLACE).select(F.lit("caller"), "via", "site"),
         sealed(p).where(F.col("address") == PLACE).select(F.lit("sealed"), "file", "line"),
     ]

@@ -84,12 +84,15 @@ class Projection:
     def call(self) -> DataFrame:
         return self.calls()
 
-    def calls(self, target: int | None = None) -> DataFrame:
-        """Call rows; target: of that one alone, found in the lines before their callers are looked up."""
+    def calls(self, target: int | None = None, caller: int | None = None) -> DataFrame:
+        """Call rows; target: of that one alone, found in the lines before their callers are looked up; caller: those of the orders that its function may span (at most every other order has none)."""
         offset = (F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % self.n * STEP
         same = (F.col("offset") / (IMAGE * STEP)).cast("long") == F.col("image_id")
         via = F.when(same, "Direct").when(F.col("l_returnflag") == "R", "Unresolved").otherwise("Island")
-        lines = self.line if target is None else self.lines((offset == target - BASE) & (F.col("l_linestatus") == "F"))
+        if caller is not None:
+            lines = self.lines(F.col("l_orderkey").between((caller - BASE) // STEP, (caller - BASE) // STEP + 1))
+        else:
+            lines = self.line if target is None else self.lines((offset == target - BASE) & (F.col("l_linestatus") == "F"))
         lines = lines.where(F.col("l_linestatus") == "F").withColumn("offset", offset)
         sites = (lines if target is None else lines.where(F.col("offset") == target - BASE)).select(
             "image_id", "site", (BASE + F.col("offset")).alias("target"), via.alias("via"),
