@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, html_text, packing, quality
 
@@ -270,3 +271,51 @@ def test_names_at_sentence_starts(spark):
     docs = spark.createDataFrame([(0, item.replace("Anna", "Beth").replace("12", "9"))], "doc_id long, text string")
     (row,) = decontamination.decontaminate(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
     assert row["coverage"] == 1 and row["n_changed"] == 2
+
+
+def article_of(html):
+    """Main text by an independent reader: the blocks of the article element, without the inline adverts."""
+    from html.parser import HTMLParser
+
+    inline = set("a b i em strong span br code small sub sup u".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.blocks, self.now = 0, [], []
+
+        def cut(self):
+            text = " ".join("".join(self.now).split())
+            self.blocks += [text] if text else []
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag not in inline:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag not in inline:
+                self.cut()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth:
+                self.now.append(data)
+
+    r = Reader()
+    r.feed(html or "")
+    r.close()
+    return "\n\n".join(r.blocks)
+
+
+def test_main_text_against_an_independent_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = html_text.extract_text(pages).join(pages.select("page_id", "html"), "page_id").collect()
+    assert len(rows) > 100 and all(r["text"] == article_of(r["html"]) for r in rows)
+
+
+def test_repeated_pages(spark):
+    df = spark.createDataFrame([(1, "u", PAGE)] * 3 + [(1, "v", "<article><p>Other words here.</p></article>")], "page_id long, url string, html string").withColumns({"n_chars": F.lit("x"), "text": F.lit(0)})
+    got = sorted((r["url"], r["n_chars"]) for r in html_text.extract_text(df).collect())
+    assert [u for u, _ in got] == ["u", "u", "u", "v"] and len({n for u, n in got if u == "u"}) == 1 and html_text.extract_text(df).columns == ["page_id", "url", "text", "n_chars"]
