@@ -62,6 +62,14 @@ def containing_function(addresses: DataFrame, function: DataFrame, key: str = "a
     return containing(addresses, function.select("image_id", "address", "size"), ["image_id"], key)
 
 
+def first_containing(addresses: DataFrame, function: DataFrame, image: DataFrame, key: str = "address_of") -> DataFrame:
+    """Addresses with the first finished image (by path) one of whose functions holds them, and that function; others are left out."""
+    width = 1 << 12
+    real = function.where("size > 0").join(done(image).select("image_id", "path"), "image_id")
+    held = range_join(addresses, real.select("path", "address", "size"), key, "address", "size", width)
+    return first_per(held.select(key, "path", "address", "size"), [key], "path", F.desc("address"))
+
+
 def owners(addresses: DataFrame, segment: DataFrame, key: str = "at") -> DataFrame:
     """Addresses with the image whose segment owns them: shared and empty segments own nothing."""
     real = segment.where("name <> '__LINKEDIT' AND size > 0")

@@ -61,6 +61,16 @@ def completed_facts(image: DataFrame, coverage: DataFrame) -> DataFrame:
     return image.where("facts_state = 'FactsDone'").join(good.select("path"), "path", "left_semi")
 
 
+def recorded(image: DataFrame, coverage: DataFrame, built: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image, coverage) after a build's rows (path, facts_state, reason, read, total): states and coverage are replaced, a failed image loses its coverage; but a failure over a store that is done and usable records nothing."""
+    usable = completed_facts(image, coverage).select("path")
+    counts = built.where("facts_state <> 'FactsFailed'").unionByName(built.where("facts_state = 'FactsFailed'").join(usable, "path", "left_anti"))
+    states = upsert(image.select("path", "facts_state", "reason"), counts.select("path", "facts_state", "reason"), ["path"])
+    others = coverage.where("layer <> 'Facts'").unionByName(coverage.where("layer = 'Facts'").join(counts.select("path"), "path", "left_anti"))
+    fresh = counts.where("facts_state = 'FactsDone'").select("path", F.lit("Facts").alias("layer"), F.lit("instructions").alias("unit"), "read", "total")
+    return states, others.unionByName(fresh)
+
+
 def reset_running(image: DataFrame, state: str = "hexrays_state") -> DataFrame:
     """Interrupted exports wait again."""
     return image.withColumn(state, F.when(F.col(state) == "HexRaysRunning", "Pending").otherwise(F.col(state)))

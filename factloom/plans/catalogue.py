@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.binary import pointer_target
+from factloom.functions import text as text_functions
+from factloom.functions.binary import bits, pointer_target
 from factloom.functions.text import basename, hex_address, parse_hex
 from factloom.operators import binary, documents, fts, grep, lookup, stores
 from factloom.operators.asof import asof_floor, range_join
@@ -649,4 +650,219 @@ def q_composite(p: Projection) -> DataFrame:
     return owner
 
 
+# -- single questions ----------------------------------------------------------------------------------------------------------------------------
+
+
+SMALLEST = "(SELECT min(p_name || '_' || p_partkey) FROM part)"
+
+
+@query(
+    with_tables("symbol", "image", "segment", "function", more=f"""at AS (SELECT address AS place FROM (SELECT image_id, address FROM symbol WHERE name = {SMALLEST} UNION SELECT image_id, address FROM symbol WHERE demangled = {SMALLEST}) JOIN image USING (image_id) WHERE facts_state = 'FactsDone' ORDER BY path, address LIMIT 1)""".replace("at AS", "asked AS"))
+    + """SELECT 'address' AS block, NULL AS text, place AS number FROM asked
+    UNION ALL SELECT 'owner', path, NULL FROM asked JOIN segment ON name <> '__LINKEDIT' AND place >= address AND place < address + size
+    UNION ALL SELECT 'function', NULL, address FROM asked JOIN function ON place >= address AND place < address + size"""
+)
+def q_symbol(p: Projection) -> DataFrame:
+    """A question by symbol: its address, owner and function."""
+    name = p.table("part").agg(F.min(F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string")))).first()[0]
+    asked = lookup.symbol_addresses(p.symbol, p.image, name).select(F.col("address").alias("place"))
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    owner = lookup.owners(asked, p.segment, "place").where("path IS NOT NULL").select(F.lit("owner"), "path", none)
+    held = range_join(asked, p.function, "place", "address", "size").select(F.lit("function"), text, "address")
+    return asked.select(F.lit("address").alias("block"), text.alias("text"), F.col("place").alias("number")).union(owner).union(held)
+
+
+@query(
+    with_tables("function", "image", more=f"probe AS ({PROBES})")
+    + """SELECT address_of, path, address, size FROM (SELECT p.address_of, i.path, f.address, f.size, row_number() OVER (PARTITION BY p.address_of ORDER BY i.path, f.address DESC) AS k
+    FROM (SELECT DISTINCT address_of FROM probe) p JOIN function f ON f.size > 0 AND p.address_of >= f.address AND p.address_of < f.address + f.size JOIN image i USING (image_id) WHERE facts_state = 'FactsDone') WHERE k = 1"""
+)
+def first_containing_image(p: Projection) -> DataFrame:
+    probe = p.table("documents").select((BASE - 512 + F.col("doc_id") * 389).alias("address_of")).distinct()
+    return lookup.first_containing(probe, p.function, p.image)
+
+
+@query(
+    with_tables("cited_text", "section", "seal_text", more=f"citation AS ({ADDRESSES}), seal AS ({SEALED})")
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS block, {at} AS address, count(*) AS count, CASE WHEN count(*) = 0 THEN ({blind}) END AS blind FROM {rows} WHERE address = {at}"
+        for at in (CITED_AT, 1)
+        for name, rows, blind in (("cited by", "citation JOIN section ON section = id", "SELECT 0"), ("sealed at", "seal", "SELECT count(*) FROM seal WHERE address IS NULL"))
+    )
+)
+def layer3_block(p: Projection) -> DataFrame:
+    """Counts of an address's citations and seals, and the blind spot where there are none; citations of the projection all have an address."""
+    citation = documents.citations(p.cited_text).where("address IS NOT NULL")
+    parts = []
+    for at in (CITED_AT, 1):
+        for name, rows, every in (("cited by", documents.cited_by(citation, p.section, at), citation), ("sealed at", sealed(p).where(F.col("address") == at), sealed(p))):
+            one_row = rows.agg(F.count("*").alias("count")).join(documents.blind_spot(every, at).select("blind"), F.lit(True))
+            parts.append((name, one_row.select(F.lit(at).cast("long").alias("address"), "count", F.when(F.col("count") == 0, F.coalesce("blind", F.lit(0).cast("long"))).alias("blind"))))
+    out = None
+    for name, df in parts:
+        row = df.withColumn("block", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    with_tables("image", "coverage", "decompilation", "section", "cited_text", "seal_text")
+    + """SELECT 'image' AS block, path AS text, coalesce(read, 0) AS read, coalesce(total, 0) AS total FROM image LEFT JOIN coverage USING (path)
+    UNION ALL SELECT 'pseudocode', NULL, count(*) FILTER (status = 'Ok'), count(*) FROM decompilation UNION ALL SELECT 'done', NULL, count(*) FILTER (facts_state = 'FactsDone'), count(*) FROM image
+    UNION ALL SELECT 'section', NULL, count(*), count(*) FROM section UNION ALL SELECT 'cited', NULL, count(*), count(*) FROM cited_text UNION ALL SELECT 'sealed', NULL, count(*), count(*) FROM seal_text"""
+)
+def status_rows(p: Projection) -> DataFrame:
+    """What status says: state of images, pseudocode and documents."""
+    text = F.lit(None).cast("string")
+    rows = lookup.image_coverage(p.image, p.coverage).select(F.lit("image").alias("block"), F.col("path").alias("text"), "read", "total")
+    rows = rows.union(stores.pseudocode_coverage(p.decompilation).select(F.lit("pseudocode"), text, "ok", "attempted"))
+    rows = rows.union(p.image.agg(F.count_if(F.col("facts_state") == "FactsDone").alias("done"), F.count("*").alias("n")).select(F.lit("done"), text, "done", "n"))
+    for name, df in (("section", p.section), ("cited", p.cited_text), ("sealed", p.seal_text)):
+        rows = rows.union(df.agg(F.count("*").alias("n")).select(F.lit(name), text, "n", F.col("n").alias("m")))
+    return rows
+
+
+@query(with_tables("decompilation") + f"SELECT function, pseudocode FROM decompilation WHERE function = {PLACE} AND pseudocode IS NOT NULL")
+def pseudocode_of(p: Projection) -> DataFrame:
+    return p.decompilation.where((F.col("function") == PLACE) & F.col("pseudocode").isNotNull()).select("function", "pseudocode")
+
+
+@query(with_tables("decompilation") + "SELECT function, length(pseudocode) AS size FROM decompilation WHERE pseudocode IS NOT NULL AND plain > 0")
+def pseudocode_scan(p: Projection) -> DataFrame:
+    return p.decompilation.where("pseudocode IS NOT NULL AND plain > 0").select("function", F.length("pseudocode").cast("long").alias("size"))
+
+
+WANTED = ("Supplier#000000000", "Supplier#000000003", "no such image")
+WANTED_SQL = "wanted AS (SELECT unnest(['" + "', '".join(WANTED) + "']) AS name)"
+
+
+@query(with_tables("image", more=WANTED_SQL) + "SELECT coalesce(i.path, w.name) AS path, i.path IS NOT NULL AS chosen FROM wanted w LEFT JOIN image i ON split_part(i.path, '/', -1) = w.name")
+def image_selection(p: Projection) -> DataFrame:
+    """Images chosen by basename, and the names that no image has."""
+    chosen, unknown = grep.selected_images(p.image, list(WANTED))
+    return chosen.select("path", F.lit(True).alias("chosen")).union(p.spark.createDataFrame([(n, False) for n in unknown], "path string, chosen boolean"))
+
+
+@query("SELECT s_suppkey % 7 * 4096 AS address, 4096 * (1 + s_suppkey % 2) AS size, min(s_name) AS file FROM supplier GROUP BY ALL")
+def mapping_dedupe(p: Projection) -> DataFrame:
+    """Mappings that several files list are one."""
+    s = p.table("supplier").select((F.col("s_suppkey") % 7 * 4096).alias("address"), (4096 * (1 + F.col("s_suppkey") % 2)).alias("size"), F.col("s_name").alias("file"))
+    return s.groupBy("address", "size").agg(F.min("file").alias("file"))
+
+
+@query(with_tables("section") + "SELECT s.id, d.doc_id IS NULL OR d.doc_id % 5 = 0 AS stale FROM section s LEFT JOIN documents d ON d.doc_id = s.id // 1000 WHERE contains(lower(s.text), 'the')")
+def find_stale(p: Projection) -> DataFrame:
+    """Hits with their mark: a file whose stamp differs, or that is gone, is stale."""
+    hits = fts.find(p.section, "the").join(p.section.select("id", "file"), "id")
+    conversation = (F.col("id") / 1000).cast("long")
+    stored = p.section.select(F.col("file").alias("path"), conversation.alias("size"), F.lit(0).alias("mtime")).distinct()
+    disk = p.table("documents").select(F.concat(F.lit("docs/re/conv-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), (F.col("doc_id") + (F.col("doc_id") % 5 == 0).cast("int")).alias("size"), F.lit(0).alias("mtime"))
+    changed = stores.staleness(stored, disk).where("fate <> 'added'").select(F.col("path").alias("file"), F.lit(True).alias("stale"))
+    return hits.join(changed, "file", "left").select("id", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+@query(
+    with_tables("coverage", more="""built AS (SELECT path, CASE WHEN image_id % 3 = 0 THEN 'FactsFailed' ELSE 'FactsDone' END AS facts_state, CASE WHEN image_id % 3 = 0 THEN 'broken' END AS reason, 7::BIGINT AS read, 8::BIGINT AS total FROM image WHERE image_id % 2 = 0),
+    counts AS (SELECT * FROM built WHERE facts_state <> 'FactsFailed' OR path NOT IN (SELECT path FROM image JOIN coverage USING (path) WHERE facts_state = 'FactsDone'))""")
+    + """SELECT path, coalesce(c.facts_state, i.facts_state) AS facts_state, c.reason, CASE WHEN c.path IS NULL THEN v.read WHEN c.facts_state = 'FactsDone' THEN c.read END AS read
+    FROM image i LEFT JOIN counts c USING (path) LEFT JOIN coverage v USING (path)"""
+)
+def build_recorded(p: Projection) -> DataFrame:
+    """A build of every other image, of which some fail: what the catalogue says then."""
+    i = F.col("image_id")
+    failed = i % 3 == 0
+    built = p.image.where(i % 2 == 0).select("path", F.when(failed, "FactsFailed").otherwise("FactsDone").alias("facts_state"), F.when(failed, "broken").alias("reason"), F.lit(7).cast("long").alias("read"), F.lit(8).cast("long").alias("total"))
+    image, coverage = stores.recorded(p.image.withColumn("reason", F.lit(None).cast("string")), p.coverage, built)
+    return image.join(coverage.select("path", "read"), "path", "left").select("path", "facts_state", "reason", "read")
+
+
+# -- parsers on projected input ------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT p_partkey % 10 AS image_id, p_partkey * 16 AS address, p_name AS name, (p_partkey * 7 % 256) & 1 AS external FROM part
+    WHERE ((p_partkey * 7 % 256) & 224) = 0 AND ((p_partkey * 7 % 256) & 14) = 14 AND p_partkey % 11 > 0"""
+)
+def symbol_filter(p: Projection) -> DataFrame:
+    """Raw symbol entries made from parts: debugging ones, undefined ones and those at zero go."""
+    i = F.col("p_partkey")
+    raw = p.table("part").select((i % 10).alias("image_id"), F.col("p_name").alias("name"), (i * 7 % 256).cast("int").alias("type"), F.when(i % 11 > 0, i * 16).otherwise(0).alias("value"))
+    return binary.filtered_symbols(raw).withColumn("external", F.col("external").cast("long"))
+
+
+@query("SELECT s_suppkey AS image_id, (s_suppkey * 65536 + sum(d) OVER (PARTITION BY s_suppkey ORDER BY k))::BIGINT AS address FROM (SELECT s_suppkey, k, 1 + (k * 37 + s_suppkey) % 300 AS d FROM (SELECT s_suppkey, unnest(range(1, 41)) AS k FROM supplier))")
+def function_starts(p: Projection) -> DataFrame:
+    """Deltas in ULEB128, of one byte below 128 and two from there, then a zero."""
+    def coded(k):
+        d = 1 + (k * 37 + F.col("s_suppkey")) % 300
+        byte = lambda c: F.lpad(F.hex(c), 2, "0")
+        return F.when(d < 128, byte(d)).otherwise(F.concat(byte(d % 128 + 128), byte(F.floor(d / 128))))
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), coded), "")
+    return binary.function_starts(p.table("supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") * 65536).alias("base"), F.unhex(F.concat(text, F.lit("00FF"))).alias("bytes")))
+
+
+#: Islands are the documents; each jumps on to another until a number that a segment owns.
+NEXT_SQL, OWNED_FROM = "(doc_id * 7 + 3) % (SELECT count(*) FROM documents) + CASE WHEN doc_id % 4 = 0 THEN 1000000 ELSE 0 END", 1_000_000
+
+
+@query(
+    f"""WITH RECURSIVE hop AS (SELECT doc_id AS island, {NEXT_SQL} AS next FROM documents WHERE doc_id % 9 > 0),
+    walk AS (SELECT island, next AS place, [island, next] AS seen, 1 AS hops FROM hop WHERE next <> island UNION ALL SELECT w.island, h.next, list_append(seen, h.next), hops + 1 FROM walk w JOIN hop h ON h.island = w.place WHERE w.place < {OWNED_FROM} AND hops < 8 AND NOT list_contains(seen, h.next))
+    SELECT doc_id AS island, place AS target FROM documents LEFT JOIN (SELECT island, place FROM walk WHERE place >= {OWNED_FROM}) ON island = doc_id"""
+)
+def island_hops(p: Projection) -> DataFrame:
+    i = F.col("doc_id")
+    n = p.table("documents").count()
+    following = (i * 7 + 3) % n + F.when(i % 4 == 0, OWNED_FROM).otherwise(0)
+    hop = p.table("documents").where(i % 9 > 0).select(i.alias("island"), following.cast("long").alias("next"))
+    owned = p.spark.range(1).select(F.lit(OWNED_FROM).cast("long").alias("address"), F.lit(1 << 20).cast("long").alias("size"))
+    return binary.resolve(p.table("documents").select(i.alias("island")), hop, owned)
+
+
+@query(
+    """SELECT 'c/' || doc_id AS file, 'concept' AS type, CASE WHEN doc_id % 3 > 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN 'a' || doc_id || '|Other' ELSE '' END AS aliases, doc_id % 5 > 0 AS closed FROM documents WHERE doc_id % 7 > 0 AND doc_id % 5 > 0
+    UNION ALL SELECT 'c/' || doc_id, NULL, NULL, '', doc_id % 7 = 0 FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0"""
+)
+def front_matter(p: Projection) -> DataFrame:
+    """Front matter made from documents: none for every seventh, one that does not end for every fifth, repeated keys, inline aliases for even ones."""
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    title = F.when(i % 3 > 0, F.concat(F.lit("title: first\ntitle:  Title "), n, F.lit(" \n"))).otherwise("")
+    alias = F.when(i % 2 == 0, F.concat(F.lit("aliases: [a"), n, F.lit(", \"Other\", ]\n"))).otherwise("aliases:\n  - block\n")
+    end = F.when(i % 5 > 0, "---\n").otherwise("")
+    text = F.when(i % 7 == 0, "prose\n").otherwise(F.concat(F.lit("---\ntype: concept\n"), title, alias, end, F.lit("prose\n")))
+    rows = documents.front_matter(p.table("documents").select(F.concat(F.lit("c/"), n).alias("file"), text.alias("text")))
+    whole = F.col("closed")
+    return rows.select("file", F.when(whole, F.col("type")).alias("type"), F.when(whole, F.col("title")).alias("title"), F.when(whole, F.coalesce(F.array_join("aliases", "|"), F.lit(""))).otherwise("").alias("aliases"), "closed")
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey::VARCHAR || 'b' ELSE s_suppkey::VARCHAR || '.1' END AS bare, s_suppkey % 3 <> 0 AS numeric, (s_suppkey * 4097 >> 4) & 255 AS byte,
+    CASE WHEN (s_suppkey * 37 % 512) >= 256 THEN s_suppkey * 37 % 512 - 512 ELSE s_suppkey * 37 % 512 END AS signed, 'MEMORY[0x' || printf('%X', s_suppkey * 4096) || ']' AS placeholder FROM supplier"""
+)
+def scalar_functions(p: Projection) -> DataFrame:
+    """A section sign goes, numbers of sections are told from titles, bits and signed bits of words, placeholders."""
+    i = F.col("s_suppkey")
+    number = F.concat(i.cast("string"), F.when(i % 3 == 0, "b").otherwise(".1"))
+    bare = text_functions.without_section_sign(F.concat(F.when(i % 2 == 0, "\u00a7").otherwise(""), number))
+    return p.table("supplier").select(
+        "s_suppkey", bare.alias("bare"), text_functions.looks_numeric(bare).alias("numeric"), bits(i * 4097, 4, 8).alias("byte"), text_functions.sign_extend(i * 37 % 512, 9).alias("signed"), text_functions.placeholder(i * 4096).alias("placeholder")
+    )
+
+
+@query(
+    f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'bl' WHEN 1 THEN 'movk' WHEN 2 THEN 'ret' ELSE 'add' END AS mnemonic,
+    CASE doc_id % 4 WHEN 0 THEN '#0x' || printf('%x', {BASE} + doc_id * 4 + (doc_id % 5000) * 4) WHEN 1 THEN 'x' || (doc_id % 31) || ', #0x' || printf('%x', doc_id % 65536) || ', lsl #48' WHEN 2 THEN ''
+        ELSE 'x' || (doc_id % 31) || ', x' || (doc_id % 29) || ', #0x' || printf('%x', doc_id % 4096) END AS operands FROM documents WHERE doc_id % 8 < 7"""
+)
+def word_decode(p: Projection) -> DataFrame:
+    """Machine words made from documents and decoded; every eighth is no instruction that the trackers need, and is skipped."""
+    i = F.col("doc_id")
+    word = (
+        F.when(i % 8 == 7, 0).when(i % 4 == 0, 0x94000000 + i % 5000).when(i % 4 == 1, 0xF2E00000 + i % 65536 * 32 + i % 31).when(i % 4 == 2, F.lit(0xD65F03C0)).otherwise(0x91000000 + i % 4096 * 1024 + i % 29 * 32 + i % 31)
+    )
+    words = p.table("documents").select(i.alias("image_id"), (BASE + i * 4).alias("va"), word.cast("long").alias("word"))
+    return binary.disassemble(words).select(F.col("image_id").alias("doc_id"), "mnemonic", "operands")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: one(name) for name in _QUERIES}

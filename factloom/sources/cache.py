@@ -101,10 +101,10 @@ class Cache:
             symbols = bytes(take(data, "16B", SYMBOL_UUID)).hex()
             if symbols != "0" * 32:
                 self.part(path, ".symbols", symbols)
-            found = sorted({m for f in files for m in file_mappings(f)}, key=lambda m: (m.address, m.file))
+            found = sorted((m for f in files for m in file_mappings(f)), key=lambda m: (m.address, m.size))
         except Malformed as e:
             raise Refusal("Malformed", "open cache", main, str(e), "extract the cache again") from None
-        self.mappings = [m for k, m in enumerate(found) if not k or m.address != found[k - 1].address]
+        self.mappings = [m for k, m in enumerate(found) if not k or (m.address, m.size) != (found[k - 1].address, found[k - 1].size)]
         self.starts = [m.address for m in self.mappings]
 
     @staticmethod
