@@ -32,6 +32,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Runs in which candidates begin and end. A candidate is bounded by the run's ends or by characters that are neither letters nor digits.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
+#: Base64 of this length is data, not a key.
+DATA_LEAST = 128
+DATA = re.compile(rf"[A-Za-z0-9+/]{{{DATA_LEAST},}}")
+
 HEX_LOW, HEX_UP = "0123456789abcdef", "0123456789ABCDEF"
 LOW, UP, NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALNUM = LOW + UP + NUM
@@ -140,6 +144,7 @@ class Automaton:
         self.red = self.merge()
         self.table = {s: self.logarithms(s) for s in self.red}
         self.least = len(self.prefix) + min(map(len, rest))
+        self.next, self.count, self.read, self.stop, self.ahead = [], [], [], [], []  # the table is all that scoring needs
 
     def symbol(self, c: str) -> str:
         return c if c in self.separators else BODY
@@ -176,14 +181,17 @@ class Automaton:
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
-            n, m = self.visits(p), self.visits(q)
-            if self.ahead[p] != self.ahead[q] or self.differ(self.stop[p], n, self.stop[q], m):
-                return False
-            if any(self.differ(self.count[p][c], n, self.count[q][c], m) for c in self.count[p].keys() | self.count[q].keys()):
-                return False
-            n, m = self.count[p][BODY], self.count[q][BODY]
-            if any(self.differ(self.read[p][c], n, self.read[q][c], m) for c in self.read[p].keys() | self.read[q].keys()):
+            if self.ahead[p] != self.ahead[q]:
                 return False
+            n, m = self.visits(p), self.visits(q)
+            if self.bound * (n**-0.5 + m**-0.5) < 1:  # else no two shares differ by more than the bound
+                if self.differ(self.stop[p], n, self.stop[q], m):
+                    return False
+                if any(self.differ(self.count[p][c], n, self.count[q][c], m) for c in self.count[p].keys() | self.count[q].keys()):
+                    return False
+                n, m = self.count[p][BODY], self.count[q][BODY]
+                if any(self.differ(self.read[p][c], n, self.read[q][c], m) for c in self.read[p].keys() | self.read[q].keys()):
+                    return False
             todo += [(self.next[p][c], self.next[q][c]) for c in self.next[p].keys() & self.next[q].keys()]
         return True
 
@@ -204,13 +212,14 @@ class Automaton:
 
     def merge(self) -> list[int]:
         """Red states are final; blue ones, their successors in the tree, merge into the first compatible red state or turn red, the most visited first."""
-        red = [0]
-        while blue := [(s, c) for s in red for c, t in self.next[s].items() if t not in red]:
+        red, final = [0], {0}
+        while blue := [(s, c) for s in red for c, t in self.next[s].items() if t not in final]:
             s, c = max(blue, key=lambda b: (self.visits(self.next[b[0]][b[1]]), -b[0], b[1]))
             t = self.next[s][c]
             home = next((r for r in red if self.compatible(r, t)), None)
             if home is None:
                 red.append(t)
+                final.add(t)
             else:
                 self.next[s][c] = home
                 self.fold(home, t)
@@ -296,13 +305,22 @@ class Scanner:
         self.ordinary = Ordinary(ordinary())
         self.margin = margin
 
+    def data(self, run: str, sums: list[float]) -> list[tuple[int, int]]:
+        """Stretches of a run that are base64 data, longer than any key: likelier even letters than ordinary text."""
+        spans = [m.span() for m in DATA.finditer(run)] if len(run) >= DATA_LEAST else []
+        return [(s, e) for s, e in spans if -math.log(64) * (e - s) > self.ordinary.score(run, sums, s, e)]
+
     def found(self, run: str) -> list[tuple[int, int, str]]:
-        """The candidates of a run that are credentials; of those that overlap, the one with the greatest likelihood ratio."""
+        """The candidates of a run that are credentials; of those that overlap, the one with the greatest likelihood ratio. In base64 data only kinds with a prefix are looked for: its pieces have the form of keys by chance."""
         bounds = [k for k in range(len(run) + 1) if k in (0, len(run)) or not (run[k - 1].isalnum() and run[k].isalnum())]
         inner = set(bounds)
         coded, sums, hits = "".join(map(CLASSES.__getitem__, run)), self.ordinary.sums(run), []
+        data = self.data(run, sums)
         for start in bounds:
+            held = any(s <= start < e for s, e in data)
             for kind, a in self.automata:
+                if held and not a.prefix:
+                    continue
                 if len(run) - start >= a.least and run.startswith(a.prefix, start):
                     for end, log in a.ends(coded, start + len(a.prefix)):
                         if end in inner and end > start and (more := log - self.ordinary.score(run, sums, start, end)) >= self.margin:

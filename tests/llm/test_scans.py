@@ -80,6 +80,17 @@ def test_candidates_within_runs(scanner):
     assert scanner.found("x" + token) == []
 
 
+def test_data_is_no_key(scanner):
+    """Pieces of base64 data have the form of keys by chance; a key with a prefix is found even there, and keys beside data are."""
+    rng = random.Random(7)
+    blob, key, token = base64.b64encode(rng.randbytes(30_000)).decode(), drawn(rng, secrets.ALNUM, 40), "ghp_" + drawn(rng, secrets.ALNUM, 36)
+    assert scanner.scan(blob)[1] == [] and scanner.scan(blob * 3 + "==")[1] == []
+    assert [k for _, _, k in scanner.scan(f"{blob}-{token}")[1]] == ["github"]
+    assert [(s, e) for s, e, _ in scanner.scan(f"{key} {blob} x={key}")[1]] == [(0, 40), (len(blob) + 44, len(blob) + 84)]
+    path = "/".join(secrets.WORDS)  # a long path is no data
+    assert [k for _, _, k in scanner.scan(f"{path}/{key}/end")[1]] == ["random"]
+
+
 def test_no_secrets_in_ordinary_documents(spark, scanner, sf_dir):
     """The words of the documents are no secrets: what is added there lies in runs that hold digits."""
     for sf in (sf_dir, "/root/testdata/sf0.01"):
