@@ -51,7 +51,10 @@ def parser() -> argparse.ArgumentParser:
             v.add_argument("section", nargs="?")
     build = verbs.add_parser("build").add_subparsers(dest="what", required=True)
     facts, docs, code = (build.add_parser(n) for n in ("facts", "docs", "pseudocode"))
-    facts.add_argument("--images", required=True, help="folder of image files")
+    facts.add_argument("--images-dir", required=True, help="folder of image files")
+    chosen = facts.add_mutually_exclusive_group()
+    chosen.add_argument("--images", nargs="*", help="basenames of the images to build, by spaces or commas")
+    chosen.add_argument("--towers", help="tower map: its images are built")
     facts.add_argument("--store", required=True)
     facts.add_argument("--resume", action="store_true")
     facts.add_argument("--cache", help="main file of the split cache whose pointers the images load")
@@ -127,7 +130,9 @@ def build(spark, a: argparse.Namespace) -> int:
         from factloom.sources.stores import Store
 
         cells = cache.cells(spark, cache.Cache(a.cache)) if a.cache else None
-        verdict = builds.build_facts(spark, a.images, a.store, a.resume, cells, hook(a.demangle) if a.demangle else None)
+        names = [n for group in a.images or () for n in group.split(",") if n]
+        wanted = builds.tower_map(spark, a.towers) if a.towers else spark.createDataFrame([(n, None) for n in names], "base string, tower string") if names else None
+        verdict = builds.build_facts(spark, a.images_dir, a.store, a.resume, cells, hook(a.demangle) if a.demangle else None, wanted)
         image = Store(spark, a.store, "Catalog").table("image")
         rows = image.select("path", "facts_state", "reason").orderBy("path").collect()  # a row for each image
         failed = [{"image": r["path"], "reason": r["reason"]} for r in rows if r["facts_state"] != "FactsDone"]

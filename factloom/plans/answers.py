@@ -56,7 +56,7 @@ class Facts:
         from factloom.sources.stores import Store, disk_bytes
 
         catalogue = Store(spark, store, "Catalog")
-        image = catalogue.table("image").withColumns({"tower": F.lit(None).cast("string"), "name": F.concat(F.substring_index("path", "/", -1), F.lit(".db"))})
+        image = catalogue.table("image").withColumn("name", F.concat(F.substring_index("path", "/", -1), F.lit(".db")))
         rows, complete = builds.pseudocode(spark, code) if code else (spark.createDataFrame([], builds.DECOMPILED), True)
         out = cls(
             image, *(catalogue.table(t) for t in ("coverage", "segment", "function", "call", "literal", "symbol", "virtual_call")), rows,

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from factloom.functions.binary import mnemonic, operands
 from factloom.operators import binary, lookup, stores
-from factloom.plans.verdict import EMPTY, FOUND, PARTIAL, Verdict
+from factloom.plans.verdict import EMPTY, FOUND, PARTIAL, Refusal, Verdict
 from factloom.session import saved
 from factloom.sources import corpus, macho
 from factloom.sources.config import Config
@@ -24,13 +24,17 @@ from factloom.sources.stores import Store, write
 TABLE_SYMBOL = "__ZTV"
 
 
-def facts(spark: SparkSession, path: str, cells: DataFrame | None = None, done: DataFrame | None = None, demangle: Callable[[str], str | None] | None = None) -> dict[str, DataFrame]:
-    """Fact tables of all Mach-O files under a path. cells: decoded pointers (at, target), for islands and tables of virtual functions (else plain pointers into the images' own segments count); done: paths that a resumed build skips; demangle: a name's plain form or None.
+def facts(spark: SparkSession, path: str, cells: DataFrame | None = None, done: DataFrame | None = None, demangle: Callable[[str], str | None] | None = None, wanted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Fact tables of all Mach-O files under a path. cells: decoded pointers (at, target), for islands and tables of virtual functions (else plain pointers into the images' own segments count); done: paths that a resumed build skips; demangle: a name's plain form or None; wanted: (base, tower) of the basenames that are built, all files without it.
 
     All images go through the same stages at once; an image is a key, not a job. A malformed file is an image that failed, with the reason.
     """
 
+    base = F.substring_index("file", "/", -1)
+
     def skipped(rows: DataFrame) -> DataFrame:
+        if wanted is not None:
+            rows = rows.join(wanted.select(F.col("base").alias("_base")), base == F.col("_base"), "left_semi")
         return rows if done is None else rows.join(done.select(F.col("path").alias("file")), "file", "left_anti")
 
     def read(table: str) -> DataFrame:
@@ -61,10 +65,12 @@ def facts(spark: SparkSession, path: str, cells: DataFrame | None = None, done:
     seen = code.groupBy("image_id").agg(F.count("mnemonic").alias("read"), F.count("*").alias("total"))
     header = segment.groupBy("image_id").agg(F.min("address").alias("header"))
     image = state.select(F.xxhash64("file").alias("image_id"), F.col("file").alias("path"), F.when(F.col("reason").isNull(), "FactsDone").otherwise("FactsFailed").alias("facts_state"), "reason").join(header, "image_id", "left")
+    towers = wanted.select("base", "tower") if wanted is not None else spark.createDataFrame([], "base string, tower string")
+    image = image.withColumn("base", F.substring_index("path", "/", -1)).join(towers, "base", "left")
     paths = image.select("image_id", "path")
     plain = F.lit(None).cast("string") if demangle is None else demangled(demangle)("name")
     return {
-        "image": image.select("image_id", "path", "header", "facts_state", "reason"),
+        "image": image.select("image_id", "path", "tower", "header", "facts_state", "reason"),
         "coverage": seen.join(paths, "image_id").select("path", F.lit("Facts").alias("layer"), F.lit("instructions").alias("unit"), "read", "total"),
         "segment": segment.join(paths, "image_id").select("image_id", "path", "name", "address", "size"),
         "section": read("section").select("image_id", "name", "address", "size"),
@@ -88,18 +94,31 @@ def demangled(demangle: Callable[[str], str | None]):
     return plain
 
 
-def build_facts(spark: SparkSession, path: str, store: str, resume: bool = False, cells: DataFrame | None = None, demangle: Callable[[str], str | None] | None = None) -> Verdict:
-    """A catalogue store of the images under a path. resume: images that are done with plausible coverage keep their rows. A failed image makes the answer PARTIAL."""
-    old = Store(spark, store, "Catalog") if resume else None
-    done = saved(stores.completed_facts(old.table("image"), old.table("coverage")).select("image_id", "path"), "done") if old else None
-    tables = facts(spark, path, cells, done, demangle)
+def tower_map(spark: SparkSession, path: str) -> DataFrame:
+    """(base, tower) of a tower map file: the basenames of its images."""
+    rows = stores.towers(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
+    return rows.groupBy(F.substring_index("path", "/", -1).alias("base")).agg(F.min("tower").alias("tower"))
+
+
+def build_facts(spark: SparkSession, path: str, store: str, resume: bool = False, cells: DataFrame | None = None, demangle: Callable[[str], str | None] | None = None, wanted: DataFrame | None = None) -> Verdict:
+    """A catalogue store of the images under a path. resume: images that are done with plausible coverage keep their rows and are not read again. An image that fails now, but was done before, keeps what it had; other failed images make the answer PARTIAL."""
+    try:
+        old = Store(spark, store, "Catalog")
+    except Refusal as e:
+        if resume or e.code != "NotFound":
+            raise
+        old = None
+    usable = saved(stores.completed_facts(old.table("image"), old.table("coverage")).select("image_id", "path"), "usable") if old else None
+    tables = facts(spark, path, cells, usable if resume else None, demangle, wanted)
     if old:
-        for name, new in tables.items():
-            key = "path" if name == "coverage" else "image_id"
-            tables[name] = old.table(name).join(done.select(key), key, "left_semi").unionByName(new)
+        kept = usable if resume else saved(usable.join(tables["image"].where("facts_state = 'FactsFailed'").select("path"), "path", "left_semi"), "kept")
+        if not kept.isEmpty():
+            for name, new in tables.items():
+                key = "path" if name == "coverage" else "image_id"
+                tables[name] = old.table(name).join(kept.select(key), key, "left_semi").unionByName(new.join(kept.select(key), key, "left_anti"))
     write(spark, store, "Catalog", tables)
     opened = Store(spark, store, "Catalog")
-    r = lookup.header(opened.table("image").withColumns({"tower": F.lit(None).cast("string"), "name": F.col("path")}), opened.table("coverage")).first()
+    r = lookup.header(opened.table("image").withColumn("name", F.col("path")), opened.table("coverage")).first()
     failed = opened.table("image").where("facts_state <> 'FactsDone'").count()
     if failed:
         return Verdict(PARTIAL, r["images"], f"{failed} of {failed + r['images']} images failed", r["read"], r["total"])

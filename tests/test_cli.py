@@ -32,7 +32,7 @@ def said(capsys):
 
 def test_builds_and_verbs(spark, stores, tree, capsys):  # noqa: F811
     store, code, docs, config = (str(stores / n) for n in ("store", "code", "docs", "config.json"))
-    assert cli.main(["build", "facts", "--images", str(stores / "in"), "--store", store, "--demangle", "tests.test_cli:plain", "--json"], spark) == 1
+    assert cli.main(["build", "facts", "--images-dir", str(stores / "in"), "--store", store, "--demangle", "tests.test_cli:plain", "--json"], spark) == 1
     built = json.loads(said(capsys))
     assert (built["built"], built["failed"]) == (1, 1) and built["images"][0].endswith("/Reader") and built["failures"][0]["image"].endswith("/Broken") and built["peak_mib"] > 0
     functions = spark.read.parquet(f"{store}/{spark.read.text(f'{store}/current').first()[0]}/function")
@@ -74,5 +74,22 @@ def test_builds_and_verbs(spark, stores, tree, capsys):  # noqa: F811
 def test_refusals(spark, stores, capsys):
     assert cli.main(["callers", "0x1", "--store", str(stores / "nothing")], spark) == 2
     assert "NOT VERIFIED" in said(capsys)
-    assert cli.main(["build", "facts", "--images", str(stores / "in"), "--store", "x", "--demangle", "no.such:hook"], spark) == 2
+    assert cli.main(["build", "facts", "--images-dir", str(stores / "in"), "--store", "x", "--demangle", "no.such:hook"], spark) == 2
     assert cli.main(["build", "nothing"], spark) == 2 and cli.main(["callers", "0x1"], spark) == 2 and cli.main(["--version"], spark) == 0
+
+
+def test_chosen_images(spark, stores, tmp_path, capsys):
+    """Names and tower maps choose images; a later build that fails keeps what was done."""
+    (tmp_path / "in").mkdir()
+    for name in ("Reader", "Sample", "Other"):
+        (tmp_path / "in" / name).write_bytes(image())
+    (tmp_path / "towers.json").write_text(json.dumps({"build": "x", "image": {"/lib/Sample": "top", "/lib/Empty": ""}, "indexed_non_tower_image": {"/lib/Reader": "side"}}))
+    store = str(tmp_path / "store")
+    build = ["build", "facts", "--images-dir", str(tmp_path / "in"), "--store", store]
+    assert cli.main([*build, "--towers", str(tmp_path / "towers.json")], spark) == 0
+    assert "FOUND 2  coverage 4/4" in said(capsys)
+    where = f"{store}/{spark.read.text(f'{store}/current').first()[0]}/image"
+    assert {(r["path"].rsplit("/", 1)[-1], r["tower"]) for r in spark.read.parquet(where).collect()} == {("Sample", "top"), ("Reader", "side")}
+    (tmp_path / "in/Sample").write_bytes(image()[:40])
+    assert cli.main([*build, "--images", "Sample,Other"], spark) == 0  # the failure over a usable image records nothing
+    assert "FOUND 2  coverage 4/4" in said(capsys)
