@@ -32,6 +32,8 @@ class Facts:
     file: DataFrame | None = None
     disk: DataFrame | None = None
     stale_config: bool = False
+    #: Why the documents cannot be read, if they cannot.
+    documents_problem: str | None = None
     #: (root, read, total) of the documents' collections.
     document_coverage: DataFrame | None = None
     #: Images whose pseudocode store is not complete, as (image_id).
@@ -65,9 +67,8 @@ class Facts:
         if documents_store:
             try:
                 docs = Store(spark, documents_store, "Documents")
-            except Refusal as e:
-                if e.code != "NotFound":
-                    raise
+            except Refusal as e:  # absent, or of another form: not built; unreadable: not verified
+                out.documents_problem = None if e.code in ("NotFound", "Mismatch") else str(e)
                 return out
             out.section, out.citation, out.file, out.document_coverage = (docs.table(t) for t in ("section", "citation", "file", "coverage"))
             out.seal = docs.table("seal") if docs.has("seal") else None
@@ -261,6 +262,8 @@ def lookup_images(f: Facts, images: list[str] | None) -> tuple[DataFrame, list[s
 
 def documents_block(f: Facts, address: int) -> list[str]:
     """Cited by and sealed at, each counted, or one line why not."""
+    if f.documents_problem:
+        return [f"documents: NOT VERIFIED {f.documents_problem}"]
     if f.citation is None or f.section is None:
         return ["documents: not built"]
     if f.stale_config:
@@ -309,7 +312,7 @@ def question(f: Facts, what: str, full: bool = False) -> Answer:
 
 def find(f: Facts, text: str) -> Answer:
     if f.section is None:
-        return Answer(Verdict(NOT_VERIFIED, why="documents are not built"))
+        return Answer(Verdict(NOT_VERIFIED, why=f.documents_problem or "documents are not built"))
     if fts.too_short(text):
         return Answer(Verdict(NOT_VERIFIED, why="fewer than three characters to look up"))
     try:
@@ -331,7 +334,7 @@ def changed_files(f: Facts) -> DataFrame:
 def laudo(f: Facts, slug: str, part: str | None = None) -> Answer:
     """The outline of a document, or one of its sections."""
     if f.section is None:
-        return Answer(Verdict(NOT_VERIFIED, why="documents are not built"))
+        return Answer(Verdict(NOT_VERIFIED, why=f.documents_problem or "documents are not built"))
     files = [r["file"] for r in documents.files_of_slug(f.section, slug).collect()]
     if len(files) > 1:
         return Answer(Verdict(NOT_VERIFIED, why=f"{slug} is ambiguous: {', '.join(files)}"))

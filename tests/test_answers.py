@@ -70,3 +70,13 @@ def test_instructions_of_a_function(facts):
     out = answers.fn(facts, BASE, asm=True)
     assert out.verdict.kind == FOUND and out.output[-1].startswith("layer 1: ") and out.verdict.total == 64
     assert answers.fn(answers.Facts(**{**facts.__dict__, "instruction": None}), BASE, asm=True).verdict.kind == NOT_VERIFIED
+
+
+def test_unreadable_documents(facts):
+    """Unread documents are said to be so in their block; the rest of the answer stands. Absent ones are not built."""
+    unread = answers.Facts(**{**facts.__dict__, "section": None, "citation": None, "documents_problem": "Io read table"})
+    out = answers.question(unread, hex(CALLED))
+    assert out.verdict.kind == FOUND and "documents: NOT VERIFIED Io read table" in out.output
+    assert answers.find(unread, "thing").verdict.why == answers.laudo(unread, "x").verdict.why == "Io read table"
+    absent = answers.Facts(**{**facts.__dict__, "section": None, "citation": None})
+    assert "documents: not built" in answers.question(absent, hex(CALLED)).output and answers.find(absent, "thing").verdict.kind == NOT_VERIFIED
