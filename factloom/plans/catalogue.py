@@ -561,7 +561,7 @@ def find_snippet(p: Projection) -> DataFrame:
 def trigram_candidates(p: Projection) -> DataFrame:
     """By the inverted index, then checked."""
     docs = p.table("documents").select(F.col("doc_id").alias("id"), "text")
-    both = fts.candidates(fts.trigrams(docs), "ntti").join(fts.candidates(fts.trigrams(docs), "ttis"), "id")
+    both = fts.candidates(fts.trigrams(docs), "ntti", "ttis")
     return docs.join(both, "id").where(F.lower("text").contains("ntti") & F.lower("text").contains("ttis")).select("id")
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -115,6 +116,20 @@ def test_short_queries():
     assert fts.too_short('"ab"') and fts.too_short(" a b ") and not fts.too_short("abc") and not fts.too_short("éb")
 
 
+def test_trigrams(spark):
+    """Grams of the folded text, also where folding makes it longer; a long text is read once."""
+    texts = [(1, "\u0130ntti"), (2, "a\U0001f600bC\n"), (3, "ab"), (4, None), (5, "aaaa"), (6, "ttisntti"), (7, "x" * 500_000 + " conttis")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    index = fts.trigrams(df.where("id < 7"))
+    got = sorted((r["id"], r["gram"]) for r in index.collect())
+    folded = {1: "i\u0307ntti", 2: "a\U0001f600bc\n", 5: "aaaa", 6: "ttisntti"}
+    assert got == sorted((i, g) for i, t in folded.items() for g in {t[k : k + 3] for k in range(len(t) - 2)})
+    assert {r["id"] for r in fts.candidates(index, "NTTI").collect()} == {1, 6}
+    began = time.monotonic()
+    assert {r["id"] for r in fts.candidates(fts.trigrams(df), "ntti", "ttis").collect()} == {6, 7}
+    assert time.monotonic() - began < 60
+
+
 def test_stores(spark):
     old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1)], "path string, size long, mtime long")
     new = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("d", 1, 1)], "path string, size long, mtime long")
