@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ MOST = 512
 BROADCAST_IDS = 1_000_000
 #: Keys of further texts of an id begin here.
 FURTHER = 1 << 62
-CHUNK = "key long, at int, length int, digest long"
+#: Bits of a set of marks: 16 a hash at least, but so many in all at most (64 MB); and bits of one of its segments.
+MARK_BITS, MOST_BITS, SEGMENT_BITS = 16, 1 << 29, 1 << 16
 WINDOW = "key long, at int, h long, again boolean"
 
 
@@ -97,74 +99,115 @@ def identified(docs: DataFrame) -> DataFrame:
     return own.join(few(again), "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "doc_id", "text").unionByName(several.dropDuplicates(["key"]))
 
 
-def chunk_table(texts: DataFrame) -> DataFrame:
-    """One row per chunk of each text: key, at, length, digest."""
+def marks(hashes: DataFrame, most: int = MOST_BITS) -> Broadcast:
+    """A set of uniform 64-bit hashes (column h, each once) for marked(): one bit for each, by its low bits, sent to all tasks.
+
+    It spares exchanges of rows that a join would drop. Some one in 16 to 32 other hashes passes too, more where `most` bounds the bits, so a join must follow.
+    """
+    n = hashes.count()
+    bits = min(most, max(SEGMENT_BITS, 1 << (MARK_BITS * n).bit_length()))
+
+    def packed(rows: pa.Table) -> pa.Table:
+        own = np.zeros(SEGMENT_BITS, bool)
+        own[rows.column("place").to_numpy()] = True
+        return pa.table([rows.column("segment").slice(0, 1).cast(pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+
+    at = F.col("h").bitwiseAND(bits - 1)
+    places = hashes.select(F.shiftright(at, SEGMENT_BITS.bit_length() - 1).cast("int").alias("segment"), at.bitwiseAND(SEGMENT_BITS - 1).cast("int").alias("place"))
+    got = places.groupBy("segment").applyInArrow(packed, "segment int, bits binary").toArrow()
+    out, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
+    for k, own in zip(got.column("segment").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[k * size : (k + 1) * size] = np.frombuffer(own, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the set; all that are in it are."""
+    at = h & U(len(bits) * 8 - 1)
+    return (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def chunk_digests(texts: DataFrame) -> DataFrame:
+    """The digest of each chunk of each text."""
 
     def run(batches):
         for b in batches:
             for s in slices(b.column("text")):
-                part = b.slice(*s)
-                of, at, length, digest = chunks(part.column("text"))
-                if len(of):
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(length, pa.int32()), pa.array(digest.view(np.int64))], names=["key", "at", "length", "digest"])
+                digest = chunks(b.column("text").slice(*s))[3]
+                if len(digest):
+                    yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64))], names=["h"])
 
-    return texts.select("text", "key").mapInArrow(run, CHUNK)
+    return texts.select("text").mapInArrow(run, "h long")
 
 
-def repeated_chunks(texts: DataFrame) -> DataFrame:
-    """(key, spans): start and end in bytes of the chunks of a text that stand at two places or more."""
-    table = chunk_table(texts)
-    # Partial aggregation leaves one row for each digest and task before the exchange.
-    known = table.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    spans = skew_join(table, known, "digest").select("key", F.struct("at", (F.col("at") + F.col("length")).alias("to")).alias("span"))
-    return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
-
-
-def word_windows(text: np.ndarray, begin: np.ndarray, finish: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the windows of `size` words, byte for byte, that may stand elsewhere: all chunks that the window alone determines are in the repeated ones [begin, finish)."""
+def word_windows(text: np.ndarray, finish: np.ndarray, length: np.ndarray, repeated: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the windows of `size` words, byte for byte, that may stand elsewhere: all chunks that the window alone determines are repeated. Chunks by their ends and lengths."""
     start, end = word_spans(text, np.array([0, len(text)]), ~SPACE)
     if len(start) < size:
         return np.zeros(0, np.int64), np.zeros(0, U)
     lo, hi = start[: len(start) - size + 1], end[size - 1 :]
-    step = np.zeros(len(text) + 1, np.int32)
-    np.add.at(step, begin, 1)
-    np.add.at(step, np.minimum(finish, len(text)), -1)
-    bare = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) <= 0)])
-    cut = cuts(gear(text))
+    # Where a longest chunk ends depends on where it began, and so is no cut of the window's own.
+    own = np.flatnonzero(length != MOST)
+    cut, bare = finish[own], np.cumsum(~repeated)[own]
     # A cut after byte i depends on bytes i - REACH - 15 to i + REACH; those of a window's first 2 * REACH bytes are left out.
     first, last = np.searchsorted(cut, lo + 2 * REACH), np.searchsorted(cut, hi - REACH, "right") - 1
     good = first >= last
     k = np.flatnonzero(~good)
-    good[k] = bare[cut[last[k]]] == bare[cut[first[k]]]
+    good[k] = bare[last[k]] == bare[first[k]]
     at = np.flatnonzero(good)
     return at, span_hashes(text, lo[at], hi[at])
 
 
-def window_table(texts: DataFrame, size: int) -> DataFrame:
-    """One row per window that may be repeated: key, at (its first word), h, again (seen before in this text)."""
+def window_table(texts: DataFrame, size: int, digests: Broadcast, hashes: Broadcast | None = None) -> DataFrame:
+    """One row per window that may be repeated: key, at (its first word), h, again (seen before in this text). digests: marks of the repeated chunks; hashes: of the windows asked for, else all."""
 
     def run(batches):
         for b in batches:
-            spans = b.column("spans")
-            for k, (key, text) in enumerate(zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                own = spans[k].values
-                at, h = word_windows(np.frombuffer(text.encode(), np.uint8), own.field("at").to_numpy(), own.field("to").to_numpy(), size)
-                if len(at):
-                    again = np.ones(len(at), bool)
-                    again[np.unique(h, return_index=True)[1]] = False
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key), pa.int64()), pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array(again)], names=["key", "at", "h", "again"])
-
-    return texts.select("key", "text", "spans").mapInArrow(run, WINDOW)
+            for s in slices(b.column("text")):
+                part, rows = b.slice(*s), []
+                data, off = text_buffer(part.column("text"))
+                of, start, length, digest = chunks(part.column("text"))
+                repeated, bounds = marked(digests.value, digest), np.searchsorted(of, np.arange(len(part) + 1))
+                for k, key in enumerate(part.column("key").to_pylist()):
+                    c = slice(bounds[k], bounds[k + 1])
+                    at, h = word_windows(data[off[k] : off[k + 1]], start[c] + length[c], length[c], repeated[c], size)
+                    if hashes is not None and len(at):
+                        found = marked(hashes.value, h)
+                        at, h = at[found], h[found]
+                    if len(at):
+                        again = np.ones(len(at), bool)
+                        again[np.unique(h, return_index=True)[1]] = False
+                        rows.append((np.full(len(at), key), at, h.view(np.int64), again))
+                if rows:
+                    key, at, h, again = (np.concatenate(c) for c in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(h), pa.array(again)], names=["key", "at", "h", "again"])
+
+    return texts.select("key", "text").mapInArrow(run, WINDOW)
 
 
 def copied_windows(texts: DataFrame, size: int) -> DataFrame:
     """(key, keep, places): first words of a text's windows whose first place is in the text with the key keep; within a text, of those seen earlier in it."""
-    table = window_table(texts, size)
-    owners = table.groupBy("h").agg(F.min("key").alias("keep"), F.count("*").alias("n")).where("n > 1").select("h", "keep")
-    copied = skew_join(table, owners, "h").where("keep < key OR again")
+    # Partial aggregation leaves one row for each hash and task before the exchange.
+    twice = chunk_digests(texts).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    digests = marks(saved(twice, "repeated-chunks"))
+    every = window_table(texts, size, digests)
+    owners = saved(every.groupBy("h").agg(F.min("key").alias("keep"), F.count("*").alias("n")).where("n > 1").select("h", "keep"), "window-owners")
+    asked = window_table(texts, size, digests, marks(owners.select("h")))
+    copied = skew_join(asked, owners, "h").where("keep < key OR again")
     return copied.groupBy("key", "keep").agg(F.sort_array(F.collect_set("at")).alias("places"))
 
 
+def among(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts without most of those whose key is not in keys; a join must follow."""
+    found = marks(saved(keys.distinct().select(F.xxhash64("key").alias("h")), "keys-asked-for"))
+
+    @F.arrow_udf("boolean")
+    def may_be(h: pa.Array) -> pa.Array:
+        return pa.array(marked(found.value, h.to_numpy(zero_copy_only=False).view(U)))
+
+    return texts.where(may_be(F.xxhash64("key")))
+
+
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     """How many bytes are equal from the start on."""
     n, at, step = min(len(a), len(b)), 0, 256
@@ -221,11 +264,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A passage is a longest stretch equal byte for byte to one of keep_id, counted in whole words. Chunks leave the windows of min_words words that may be repeated; each of these is kept by the smallest id that holds it whole, and grown at all its places there. A repetition within a document is copied from its first place. Null texts count as empty and hold nothing. Rows with a null doc_id keep and report nothing. Rows equal in id and text count as one. Rows with one id and several texts are texts of their own, that with the smallest hash before the others and these after all ids: what they hold of the first is copied (keep_id is that id), and spans are those of the row's own text. Other columns are not looked at. Empty input: empty output.
     """
     every = identified(docs)
-    # Texts are written once beside their chunks, and read from there without an exchange.
-    held = saved(every.join(repeated_chunks(every), "key"), "passage-texts")
-    runs = saved(copied_windows(held, min_words), "copied-windows")
-    texts = held.select("key", "doc_id", "text")
-    sources = held.select(F.col("key").alias("keep"), F.col("doc_id").alias("keep_id"), F.col("text").alias("source"))
+    runs = saved(copied_windows(every, min_words), "copied-windows")
+    # Only texts that hold a copy or keep one are exchanged.
+    texts = among(every, runs.select("key"))
+    sources = among(every, runs.select(F.col("keep").alias("key"))).select(F.col("key").alias("keep"), F.col("doc_id").alias("keep_id"), F.col("text").alias("source"))
     pairs = runs.join(texts, "key").join(sources, "keep")
 
     def run(batches):

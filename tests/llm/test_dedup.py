@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import components, exact_dedup, kernels, near_dedup, substring_dedup
@@ -327,6 +328,25 @@ def test_substring_against_brute_force(spark):
         assert want[d] <= got[d]
 
 
+def test_substring_without_cuts(spark):
+    """Short words: 50 of them hold no whole chunk, and their documents no repeated one."""
+    rng = np.random.default_rng(21)
+    shared = " ".join("".join(map(chr, rng.integers(97, 123, 1 + k % 2))) for k in range(50))
+    texts = [f"{made_words(rng, 60)} {shared} {made_words(rng, 60)}" for _ in range(2)]
+    assert not set.intersection(*(set(substring_dedup.chunks(pa.array([t]))[3].tolist()) for t in texts))
+    assert [(doc, keep, shared in part) for doc, keep, part in passage_rows(spark, texts)] == [(1, 0, True)]
+
+
+def test_marks(spark):
+    """All of a set are marked and few others; in too few bits more others are, but still all of the set."""
+    h = kernels.mix(np.arange(100_000, dtype=np.uint64))
+    rows = spark.createDataFrame(pa.table({"h": h[:30_000].view(np.int64)}))
+    for most, others in ((substring_dedup.MOST_BITS, 0.07), (substring_dedup.SEGMENT_BITS, 0.45)):
+        found = substring_dedup.marked(substring_dedup.marks(rows, most).value, h)
+        assert found[:30_000].all() and 0 < found[30_000:].mean() < others
+    assert not substring_dedup.marked(substring_dedup.marks(rows.where("false")).value, h).any()
+
+
 def exact_components(ids, sets):
     """Components of all pairs at a similarity of 0.75: every pair that shares one of its rarest shingles is compared (a pair at that similarity must)."""
     count = Counter(x for s in sets for x in s)
